@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from corpusloom.llm.packing import op9_packing
 from corpusloom.llm.pii import op3_pii
+from corpusloom.llm.simhash import op4_simhash
 
 QUERIES = {
     "op3_pii": op3_pii,
+    "op4_simhash": op4_simhash,
     "op9_packing": op9_packing,
 }
 
