@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.llm import topk
 from corpusloom.llm.packing import op9_packing
 from corpusloom.llm.pii import op3_pii
 from corpusloom.llm.simhash import op4_simhash
@@ -9,7 +10,10 @@ from corpusloom.llm.simhash import op4_simhash
 QUERIES = {
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
+    "op8_top_k": topk.op8_top_k,
     "op9_packing": op9_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_top_k": topk.SQL,
+}
