@@ -11,11 +11,12 @@ import functools
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
 #: Chunks, and words, in each of the two generations of an encoder's memory. A bound on memory only: results are the same.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 #: Longer chunks and words aren't remembered.
 LONGEST = 48
 
@@ -23,6 +24,11 @@ LONGEST = 48
 PLAIN = re.compile("[!-~\xa1-įı-ɏ]+")
 
 
+PLAIN_TEXT = re.compile("[\n -~\xa1-įı-ɏ]*+")
+#: Signs that are words of their own after a word's letters.
+ENDS = frozenset(".,;:!?")
+
+
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -58,22 +64,24 @@ def word_pattern(path: str) -> str | None:
     return pattern if fits and spec["model"]["type"] == "BPE" and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in added) else None
 
 
-class Memory:
-    """A mapping that forgets what two generations of new keys haven't used."""
+class Memory(dict):
+    """What a function gave for a key; forgets the keys that two generations of new ones haven't used."""
 
-    def __init__(self, most: int = REMEMBERED):
-        self.most, self.new, self.old = most, {}, {}
+    def __init__(self, make: Callable[[str], bytes], most: int = REMEMBERED):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
 
-    def older(self, key):
-        if (value := self.old.get(key)) is not None:
-            self.put(key, value)
+    def __missing__(self, key: str) -> bytes:
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+            if len(key) > LONGEST:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
-
 
 class Encoder:
     """ids(text): the text's ids without added special tokens, as unsigned 32-bit numbers."""
@@ -84,36 +92,33 @@ class Encoder:
         self.tokenizer = load_tokenizer(path)
         self.model = self.tokenizer.model
         pattern = word_pattern(path)
-        self.words = regex.compile(pattern).findall if pattern else None
-        self.chunks, self.known = Memory(), Memory()
+        self.split = regex.compile(pattern).findall if pattern else None
+        self.words, self.chunks = Memory(self.word), Memory(self.chunk)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
-        if (raw := self.known.new.get(word)) is None and (raw := self.known.older(word)) is None:
-            raw = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled(word))])
-            if len(word) <= LONGEST:
-                self.known.put(word, raw)
-        return raw
+        return np.array([t.id for t in self.model.tokenize(spelled(word))], "<u4").tobytes()
 
     def chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if (raw := self.chunks.older(chunk)) is None:
-            raw = b"".join([self.word(w) for w in self.words(chunk.lower())]) if PLAIN.fullmatch(chunk) and "<|" not in chunk else self.whole(chunk)
-            if len(chunk) <= LONGEST:
-                self.chunks.put(chunk, raw)
-        return raw
+        if not PLAIN.fullmatch(chunk) or "<|" in chunk:
+            return self.whole(chunk)
+        low = chunk.lower()
+        if low.isalpha():
+            return self.words[low]
+        if low[:-1].isalpha() and low[-1] in ENDS:
+            return self.words[low[:-1]] + self.words[low[-1]]
+        return b"".join(map(self.words.__getitem__, self.split(low)))
 
     def ids(self, text: str) -> np.ndarray:
-        if self.words is None:
+        if self.split is None:
             return np.frombuffer(self.whole(text), "<u4")
-        chunks = text.replace("\n", " ").split(" ")
-        found = [*map(self.chunks.new.get, chunks)]
-        if None in found:
-            found = [self.chunk(c) if raw is None else raw for c, raw in zip(chunks, found, strict=True)]
-        return np.frombuffer(b"".join(found), "<u4")
+        if PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+            text = text.lower()
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
 
 
 @functools.lru_cache(maxsize=2)
