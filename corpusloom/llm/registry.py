@@ -5,11 +5,15 @@ from __future__ import annotations
 from corpusloom.llm import topk
 from corpusloom.llm.packing import op9_packing
 from corpusloom.llm.pii import op3_pii
+from corpusloom.llm.quality import op6_quality
+from corpusloom.llm.secrets import op5_secrets
 from corpusloom.llm.simhash import op4_simhash
 
 QUERIES = {
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
+    "op5_secrets": op5_secrets,
+    "op6_quality": op6_quality,
     "op8_top_k": topk.op8_top_k,
     "op9_packing": op9_packing,
 }
