@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm import topk
+from corpusloom.llm.langid import op7_language
 from corpusloom.llm.packing import op9_packing
 from corpusloom.llm.pii import op3_pii
 from corpusloom.llm.quality import op6_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_top_k": topk.op8_top_k,
     "op9_packing": op9_packing,
 }
