@@ -9,6 +9,7 @@ from corpusloom.llm.pii import op3_pii
 from corpusloom.llm.quality import op6_quality
 from corpusloom.llm.secrets import op5_secrets
 from corpusloom.llm.simhash import op4_simhash
+from corpusloom.llm.tokencount import op10_token_counts
 
 QUERIES = {
     "op3_pii": op3_pii,
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_top_k": topk.op8_top_k,
     "op9_packing": op9_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {

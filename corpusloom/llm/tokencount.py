@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read
 from corpusloom.llm.lattice import Vocabulary, by_length
-from corpusloom.llm.tokens import LONGEST, PLAIN, PLAIN_TEXT, REMEMBERED, byte_letters, load_tokenizer, word_pattern
+from corpusloom.llm.tokens import ENDS, LONGEST, PLAIN, PLAIN_TEXT, REMEMBERED, byte_letters, load_tokenizer, word_pattern
 
 #: Texts whose new words are computed together.
 TEXTS = 1024
@@ -73,7 +73,7 @@ class TokenCounter:
 
     @staticmethod
     def _keep(memory: list[dict], found: dict) -> None:
-        if len(memory[0]) + len(found) > REMEMBERED:
+        if len(memory[0]) > REMEMBERED:
             memory[:] = [{}, memory[0]]
         memory[0].update((k, v) for k, v in found.items() if len(k) <= LONGEST)
 
@@ -99,34 +99,51 @@ class TokenCounter:
 
     def pieces_of(self, chunk: str) -> list[str] | None:
         """The words of a chunk in plain letters; None for others, which the library counts."""
-        return self.split(chunk.lower()) if PLAIN.fullmatch(chunk) and "<|" not in chunk else None
+        if chunk and (not PLAIN.fullmatch(chunk) or "<|" in chunk):
+            return None
+        low = chunk.lower()
+        if low.isalpha():
+            return [low]
+        return [low[:-1], low[-1]] if low[:-1].isalpha() and low[-1] in ENDS else self.split(low)
 
     def chunk_counts(self, chunks: Iterable[str]) -> dict[str, int]:
         parts = {c: self.pieces_of(c) for c in chunks}
         known = self.word_prefixes(w for p in parts.values() if p is not None for w in p)
         total = {w: int.from_bytes(raw[-4:], "little") for w, raw in known.items()}
         odd = [c for c, p in parts.items() if p is None]
-        out = {c: sum([total[w] for w in p]) for c, p in parts.items() if p is not None}
+        out = {c: sum(map(total.__getitem__, p)) for c, p in parts.items() if p is not None}
         return out | dict(zip(odd, self.whole(odd), strict=True)) if odd else out
 
     @staticmethod
     def chunks_of(text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """The number of tokens of each text."""
+        """What stands between spaces and line feeds; in lower case if that changes no place."""
+        low = text.lower() if PLAIN_TEXT.fullmatch(text) and "<|" not in text else text
+        return low.replace("\n", " ").split(" ")
+
+    def known_counts(self, split: list[list[str]]) -> dict[str, int]:
+        """A mapping that has the count of every chunk of the lists."""
+        known = self.chunks[0]
+        if len(known) > REMEMBERED:
+            self.chunks = [{}, {c: n for c, n in known.items() if len(c) <= LONGEST}]
+            known = self.chunks[0]
+        missing = set().union(*split).difference(known)
+        if missing:
+            known.update(self._recall(self.chunks, missing))
+            known.update(self.chunk_counts(missing.difference(known)))
+        return known
+
+    def counts(self, texts: list[str], budget: int | None = None) -> list[tuple[int, int]]:
+        """The number of tokens of each text, and the length of its longest prefix within the budget."""
         if self.split is None:
-            return self.whole(texts)
-        out: list[int] = []
+            return [(n, len(t) if budget is None or n <= budget else self.fit(t, budget)) for t, n in zip(texts, self.whole(texts), strict=True)]
+        out: list[tuple[int, int]] = []
         for k in range(0, len(texts), TEXTS):
-            split = [self.chunks_of(t.lower() if PLAIN_TEXT.fullmatch(t) and "<|" not in t else t) for t in texts[k : k + TEXTS]]
-            known = self.chunks[0]
-            got = [[*map(known.get, chunks)] for chunks in split]
-            missing = {c: None for chunks, n in zip(split, got, strict=True) if None in n for c, v in zip(chunks, n, strict=True) if v is None}
-            fresh = self._recall(self.chunks, missing)
-            fresh |= self.chunk_counts(c for c in missing if c not in fresh)
-            self._keep(self.chunks, fresh)
-            out += [sum([fresh[c] if v is None else v for c, v in zip(chunks, n, strict=True)]) if None in n else sum(n) for chunks, n in zip(split, got, strict=True)]
+            part = texts[k : k + TEXTS]
+            split = [self.chunks_of(t) for t in part]
+            count = self.known_counts(split).__getitem__
+            for text, chunks in zip(part, split, strict=True):
+                n = sum(map(count, chunks))
+                out.append((n, len(text) if budget is None or n <= budget else self._fit(chunks, [*map(count, chunks)], budget)))
         return out
 
     def prefix_counts(self, text: str) -> np.ndarray:
@@ -143,7 +160,7 @@ class TokenCounter:
         return np.concatenate(out)
 
     def chunk_prefixes(self, chunk: str) -> np.ndarray:
-        words = self.pieces_of(chunk) if chunk else []
+        words = self.pieces_of(chunk)
         if words is None:
             return np.array(self.whole([chunk[:k] for k in range(1, len(chunk) + 1)]), np.int64)
         known, out, base = self.word_prefixes(words), [np.empty(0, np.int64)], 0
@@ -157,10 +174,12 @@ class TokenCounter:
         if self.split is None:
             return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
         chunks = self.chunks_of(text)
-        counts = self.chunk_counts(dict.fromkeys(c for c in chunks if c)) | {"": 0}
-        sums = np.cumsum([counts[c] for c in chunks])
+        return self._fit(chunks, [*map(self.known_counts([chunks]).__getitem__, chunks)], budget)
+
+    def _fit(self, chunks: list[str], counts: list[int], budget: int) -> int:
+        sums = np.cumsum(counts)
         k = min(int(np.searchsorted(sums, budget, side="right")), len(chunks) - 1)  # the chunk in which the budget ends
-        start = sum(len(c) + 1 for c in chunks[:k])
+        start = sum(map(len, chunks[:k])) + k
         own = (int(sums[k - 1]) if k else 0) + self.chunk_prefixes(chunks[k])
         return start + int((np.flatnonzero(own <= budget) + 1).max(initial=0))
 
@@ -178,10 +197,10 @@ def count_tokens(df: DataFrame, tokenizer: str, budget: int | None = None, id_co
         own = counter(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            counts = own.counts(texts)
-            columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64())]
+            counts = own.counts(texts, budget)
+            columns = [batch.column(0), batch.column(1), pa.array([n for n, _ in counts], pa.int64())]
             if budget is not None:
-                columns.append(pa.array([len(t) if n <= budget else own.fit(t, budget) for t, n in zip(texts, counts, strict=True)], pa.int64()))
+                columns.append(pa.array([length for _, length in counts], pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_tokens", *["fit_chars"] * (budget is not None)])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
