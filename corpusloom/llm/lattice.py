@@ -29,9 +29,10 @@ def _powers(n: int) -> np.ndarray:
 
 
 class Vocabulary:
-    """pieces: their symbols as tuples of positive ints, single symbols among them. merges: (left, right) piece numbers to (rank, made piece number)."""
+    """pieces: their symbols as tuples of positive ints, single symbols among them. merges: (left, right) piece numbers to (rank, made piece number); None for scored pieces."""
 
-    def __init__(self, pieces: list[tuple[int, ...]], merges: dict[tuple[int, int], tuple[int, int]]):
+    def __init__(self, pieces: list[tuple[int, ...]], merges: dict[tuple[int, int], tuple[int, int]] | None):
+        scored, merges = merges is None, merges or {}
         self.pieces, self.merges = pieces, merges
         n = len(pieces)
         self.size = n + 1  # the last number stands for a symbol that no piece has
@@ -42,7 +43,7 @@ class Vocabulary:
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in merges.values()], np.int64)[order]
         self._edges()
         hashes = np.array([self._hash(p) for p in pieces], np.uint64)
-        ok = np.flatnonzero(self.whole[:n])
+        ok = np.arange(n) if scored else np.flatnonzero(self.whole[:n])  # a piece that its own merges don't make is in no encoding
         order = ok[np.argsort(hashes[ok], kind="stable")]
         self.hashes, self.numbers = hashes[order], order
         if len(np.unique(self.hashes)) < len(self.hashes):
@@ -232,13 +233,14 @@ class Vocabulary:
         return [[p for p in row if p >= 0] for row in np.stack(steps[::-1], axis=1).tolist()]
 
 
-def by_length(words: list[tuple[int, ...]] | list[list[int]] | list[bytes]):
-    """(indices, array of words) for groups of words of one length."""
+def by_length(words: list[bytes], width: int = 1):
+    """(indices, array of words) for groups of words of one length; width: bytes of a symbol."""
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         groups.setdefault(len(w), []).append(k)
     for length, indices in groups.items():
-        step = max(1, GROUP_SYMBOLS // max(1, length))
+        step = max(1, GROUP_SYMBOLS * width // max(1, length))
         for k in range(0, len(indices), step):
             part = indices[k : k + step]
-            yield part, np.array([words[i] if not isinstance(words[i], bytes) else list(words[i]) for i in part], np.int64).reshape(len(part), length)
+            rows = np.frombuffer(b"".join([words[i] for i in part]), "<u4" if width == 4 else np.uint8)
+            yield part, rows.astype(np.int64).reshape(len(part), length // width)

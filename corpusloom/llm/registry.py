@@ -8,10 +8,12 @@ from corpusloom.llm.packing import op9_packing
 from corpusloom.llm.pii import op3_pii
 from corpusloom.llm.quality import op6_quality
 from corpusloom.llm.secrets import op5_secrets
+from corpusloom.llm.sentencepieces import op1_sentencepiece
 from corpusloom.llm.simhash import op4_simhash
 from corpusloom.llm.tokencount import op10_token_counts
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
