@@ -207,12 +207,12 @@ class Vocabulary:
         for k in range(length):
             prefix[:, k + 1] = prefix[:, k] * BASE + words[:, k].astype(np.uint64)
         last = np.full((n, length + 1), -1, np.int64)
-        best = np.zeros((n, length + 1), np.float64)
+        best = np.zeros((n, length + 1), np.float32)  # sums as the library rounds them, so that ties fall alike
         for end in range(1, length + 1):
             sizes = np.arange(min(self.longest, end), 0, -1)
             hashes = prefix[:, end, None] - prefix[:, end - sizes] * power[sizes][None, :]
             found = self.find(hashes.ravel()).reshape(n, -1)
-            sums = best[:, end - sizes] + np.where(found >= 0, scores[found], np.where(sizes[None, :] == 1, unknown, -np.inf))
+            sums = best[:, end - sizes] + np.where(found >= 0, scores[found], np.where(sizes[None, :] == 1, np.float32(unknown), np.float32(-np.inf)))
             at = sums.argmax(1)
             best[:, end] = sums[np.arange(n), at]
             piece = found[np.arange(n), at]

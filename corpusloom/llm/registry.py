@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpusloom.llm import topk
 from corpusloom.llm.langid import op7_language
+from corpusloom.llm.licenses import op2_licenses
 from corpusloom.llm.packing import op9_packing
 from corpusloom.llm.pii import op3_pii
 from corpusloom.llm.quality import op6_quality
@@ -14,6 +15,7 @@ from corpusloom.llm.tokencount import op10_token_counts
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_licenses": op2_licenses,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,

@@ -65,7 +65,7 @@ class Codec:
         texts = [model.pieces[k].piece for k in normal]
         pieces = [tuple(ord(c) + 1 for c in t) for t in texts]
         scores = [model.pieces[k].score for k in normal]
-        self.scores = np.array([*scores, 0.0], np.float64)
+        self.scores = np.array([*scores, 0.0], np.float32)
         self.table = [b""] * len(model.pieces)
         for k, t in zip(normal, texts, strict=True):
             self.table[k] = t.replace(SPACE, " ").encode()
