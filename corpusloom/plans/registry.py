@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from corpusloom.plans import dialogue_queries, duplicate_queries, governance_queries, sampling_queries, source_queries, stat_queries, table_queries, text_queries
+from corpusloom.plans.catalog import QUERIES, SQL
+from corpusloom.plans.duplicate_queries import duplicate_summary as flagship
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["QUERIES", "SQL", "flagship", "dialogue_queries", "duplicate_queries", "governance_queries", "sampling_queries", "source_queries", "stat_queries", "table_queries", "text_queries"]
