@@ -127,10 +127,11 @@ def revenue_by_nation(spark, sf_dir):
 @query("event_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     """Windowed counts, the same operator that runs on streams."""
-    return E.windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 6))
+    return E.windowed_counts(table(spark, sf_dir, "events")).withColumns({"total": F.round("total", 6), "window_start": F.col("window_start").cast("timestamp_ntz")})
 
 
 @query("event_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k")
 def event_sessions(spark, sf_dir):
     """Sessions with a gap, the same operator that runs on streams."""
-    return E.sessions(table(spark, sf_dir, "events"))
+    found = E.sessions(table(spark, sf_dir, "events"))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
