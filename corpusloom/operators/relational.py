@@ -49,10 +49,12 @@ def nth_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column |
 
 
 def first_pair(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], columns: Sequence[str]) -> DataFrame:
-    """First and second member of each group in one row; groups of one are left out."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    ranked = df.select(*group, *columns, F.row_number().over(w).alias("__n"), *[F.lead(c).over(w).alias(f"{c}_b") for c in columns], F.count("*").over(Window.partitionBy(*group)).alias("group_size"))
-    return ranked.filter((F.col("__n") == 1) & (F.col("group_size") > 1)).select(*group, "group_size", *[F.col(c).alias(f"{c}_a") for c in columns], *[f"{c}_b" for c in columns])
+    """First and second member of each group in one row; groups of one are left out. Two rows a group are ranked, and groups are counted by partial sums."""
+    two = top_per_key(df.select(*group, *columns, *[c for c in order if isinstance(c, str) and c not in {*group, *columns}]), group, order, 2)
+    at = lambda n, s: two.filter(F.col("rank_in_group") == n).select(*group, *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    sizes = df.groupBy(*group).agg(F.count("*").alias("group_size"))
+    found = at(1, "a").join(at(2, "b"), list(group)).join(sizes, list(group))
+    return found.select(*group, "group_size", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
 
 
 def group_size(df: DataFrame, group: Sequence[str], name: str = "group_size") -> DataFrame:
@@ -93,15 +95,30 @@ def sequential_ids(df: DataFrame, prefix: str, order: Sequence[Column | str], wi
     return numbered.withColumn(name, F.format_string(f"{prefix}-%0{width}d", "row_number")).drop("row_number")
 
 
+def _ranged(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Sorted ranges of fixed number: both readers of the result see the same ones."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+
+
 def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "row_number") -> DataFrame:
     """Row numbers from 1 in a full order, without a window over all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
-    counts = ranged.groupBy("__p").count()
+    ranged = _ranged(df, order).withColumn("__i", F.monotonically_increasing_id())
+    counts = ranged.groupBy("__p").count()  # a row a range
     before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
     inside = F.col("__i") - F.shiftleft(F.col("__p").cast("bigint"), 33) + 1
     return ranged.join(before, "__p").withColumn(name, F.col("__before") + inside).drop("__p", "__i", "__before")
 
 
+def running_sum(df: DataFrame, order: Sequence[Column | str], value: str, name: str = "running") -> DataFrame:
+    """The sum of all values up to each row in a full order: within sorted ranges, plus the sums of the ranges before."""
+    ranged = _ranged(df, order)
+    sums = ranged.groupBy("__p").agg(F.sum(value).alias("s"))  # a row a range
+    before = sums.select("__p", F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__s", inside).join(before, "__p").withColumn(name, F.col("__before") + F.col("__s")).drop("__p", "__s", "__before")
+
+
 def union_first(frames: Sequence[DataFrame], key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """All rows of all frames, then the first of each key."""
     out = frames[0]

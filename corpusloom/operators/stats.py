@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.relational import running_sum
+
 Z95 = 1.959964
 
 
@@ -33,31 +35,36 @@ def weighted_rate(value: Column, weight: Column) -> Column:
 
 def prevalence_views(df: DataFrame, flag: str, exact: str, family: str, order: str) -> DataFrame:
     """A flag's rate in four views: all rows, the first of each exact text, the first of each family, and families of equal weight."""
-    n = lambda g: F.row_number().over(Window.partitionBy(g).orderBy(order)) == 1
-    sizes = F.count("*").over(Window.partitionBy(family))
-    marked = df.select(F.col(flag).cast("double").alias("x"), n(exact).alias("e"), n(family).alias("f"), (1 / sizes).alias("w"))
-    sums = marked.agg(
-        F.avg("x").alias("raw"), F.avg(F.when(F.col("e"), F.col("x"))).alias("exact_dedup"), F.avg(F.when(F.col("f"), F.col("x"))).alias("family_representative"), weighted_rate(F.col("x"), F.col("w")).alias("family_equal_weight")
-    )
-    return sums.unpivot([], ["raw", "exact_dedup", "family_representative", "family_equal_weight"], "view", "rate")
+    rows = df.select(F.col(flag).cast("double").alias("x"), F.col(exact).alias("e"), F.col(family).alias("f"), F.col(order).alias("o"))
+    first = F.min_by("x", "o")
+    families = rows.groupBy("f").agg(first.alias("m"), F.avg("x").alias("a"))
+    parts = [("raw", rows, "x"), ("exact_dedup", rows.groupBy("e").agg(first.alias("m")), "m"), ("family_representative", families, "m"), ("family_equal_weight", families, "a")]
+    out = None
+    for view, frame, column in parts:
+        one = frame.agg(F.lit(view).alias("view"), F.avg(column).alias("rate"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 def weighted_quantiles(df: DataFrame, value: str, weight: str, quantiles: Sequence[float]) -> DataFrame:
     """(q, value): midpoints of cumulative weights, linear between them, clamped at the ends. Equal values are summed first."""
     points = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("x"), F.col(weight).alias("w1")).agg(F.count("*").alias("c"))
-    # rows of one value lie next to each other; the midpoints of their first and last row bracket what lies between
-    w = Window.orderBy("x", "w1").rowsBetween(Window.unboundedPreceding, 0)
-    run = points.select("x", "w1", (F.col("w1") * F.col("c")).alias("w"), F.sum(F.col("w1") * F.col("c")).over(w).alias("cum"))
-    total = points.agg(F.sum(F.col("w1") * F.col("c")).alias("total"))
-    ends = run.crossJoin(F.broadcast(total)).select("x", F.explode(F.array((F.col("cum") - F.col("w") + F.col("w1") / 2) / F.col("total"), (F.col("cum") - F.col("w1") / 2) / F.col("total"))).alias("p")).distinct()
-    pairs = ends.select("x", "p", F.lead("x").over(Window.orderBy("p", "x")).alias("x2"), F.lead("p").over(Window.orderBy("p", "x")).alias("p2"), F.row_number().over(Window.orderBy("p", "x")).alias("k"))
-    out = None
-    for q in quantiles:
-        inside = (F.col("p") <= q) & (F.col("p2") > q)
-        at = F.max(F.when(inside, F.col("x") + (F.col("x2") - F.col("x")) * (q - F.col("p")) / (F.col("p2") - F.col("p"))))
-        one = pairs.agg(F.lit(q).alias("q"), F.coalesce(at, F.when(F.lit(q) < F.min("p"), F.min("x")), F.max("x")).alias("value"))
-        out = one if out is None else out.union(one)
-    return out
+    points = points.withColumn("w", F.col("w1") * F.col("c"))
+    run = running_sum(points, ["x", "w1"], "w", "cum")
+    total = points.agg(F.sum("w").alias("total"))  # one row
+    # rows of one value lie next to each other: the midpoints of the first and the last bracket the others
+    middles = F.array(F.col("cum") - F.col("w") + F.col("w1") / 2, F.col("cum") - F.col("w1") / 2)
+    ends = run.crossJoin(F.broadcast(total)).select("x", F.explode(middles).alias("m"), "total").select("x", (F.col("m") / F.col("total")).alias("p"))
+    parts = []
+    for k, q in enumerate(quantiles):
+        parts += [F.max(F.when(F.col("p") <= q, F.struct("p", "x"))).alias(f"lo{k}"), F.min(F.when(F.col("p") > q, F.struct("p", "x"))).alias(f"hi{k}")]
+    found = ends.agg(*parts)
+    rows = []
+    for k, q in enumerate(quantiles):
+        lo, hi = F.col(f"lo{k}"), F.col(f"hi{k}")
+        between = lo["x"] + (hi["x"] - lo["x"]) * (q - lo["p"]) / (hi["p"] - lo["p"])
+        rows.append(F.struct(F.lit(q).alias("q"), F.coalesce(between, lo["x"], hi["x"]).alias("value")))
+    return found.select(F.inline(F.array(*rows)))
 
 
 def precision_recall(df: DataFrame, gold: Column, found: Column, group: Sequence[str] = ()) -> DataFrame:

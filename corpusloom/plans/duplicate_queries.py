@@ -11,9 +11,9 @@ from corpusloom.operators import stats as S
 from corpusloom.plans.catalog import SQL_VIEWS, query, table
 
 
-def features(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", X.canonical(F.col("text")).alias("canonical"))
-    return U.duplicate_features(docs, "doc_id", "text", "canonical").drop("canonical")
+def features(spark, sf_dir, make=U.duplicate_features):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.length("text") < 500).alias("short"), (F.trim("text") == "").alias("blank"), "text", X.canonical(F.col("text")).alias("canonical"))
+    return make(docs, "doc_id", "text", "canonical")
 
 
 @query("duplicate_groups", f"WITH {SQL_VIEWS}, g AS (SELECT doc_id, family_signature, eligible, count(*) OVER (PARTITION BY raw_sha256) AS exact_raw_size, count(*) OVER (PARTITION BY canonical_sha256) AS exact_canonical_size, count(*) OVER (PARTITION BY family_signature) AS family_size FROM families) SELECT doc_id, family_signature, eligible AS family_eligible, exact_raw_size, exact_canonical_size, family_size, 1.0::DOUBLE / family_size AS family_equal_weight, exact_raw_size > 1 AS is_exact_duplicate FROM g")
@@ -37,14 +37,13 @@ def old_signatures(spark, sf_dir):
 @query("prevalence_views", f"WITH {SQL_VIEWS}, m AS (SELECT length(text) < 500 AS x, row_number() OVER (PARTITION BY raw_sha256 ORDER BY doc_id) AS e, row_number() OVER (PARTITION BY family_signature ORDER BY doc_id) AS f, 1.0::DOUBLE / count(*) OVER (PARTITION BY family_signature) AS w FROM families) SELECT view, round(rate, 9) AS rate FROM (SELECT avg(x::INTEGER) AS raw, avg(x::INTEGER) FILTER (e = 1) AS exact_dedup, avg(x::INTEGER) FILTER (f = 1) AS family_representative, sum(x::INTEGER * w) / sum(w) AS family_equal_weight FROM m) UNPIVOT (rate FOR view IN (raw, exact_dedup, family_representative, family_equal_weight))")
 def prevalence_views(spark, sf_dir):
     """AG6: a flag's rate in four views of the corpus."""
-    rows = features(spark, sf_dir).withColumn("short", F.length("text") < 500)
-    return S.prevalence_views(rows, "short", "raw_sha256", "family_signature", "doc_id").select("view", F.round("rate", 9).alias("rate"))
+    return S.prevalence_views(features(spark, sf_dir, U.signatures), "short", "raw_sha256", "family_signature", "doc_id").select("view", F.round("rate", 9).alias("rate"))
 
 
 @query("corpus_views", f"WITH {SQL_VIEWS}, a AS (SELECT *, row_number() OVER (PARTITION BY canonical_sha256 ORDER BY doc_id) AS e FROM families WHERE trim(canonical) <> ''), b AS (SELECT *, row_number() OVER (PARTITION BY family_signature ORDER BY doc_id) AS f FROM a WHERE e = 1) SELECT 'all' AS view, count(*) AS n FROM a UNION ALL SELECT 'exact_dedup', count(*) FROM b UNION ALL SELECT 'family_dedup', count(*) FROM b WHERE f = 1")
 def corpus_views(spark, sf_dir):
     """CF1: non-empty, exact-deduplicated and family-deduplicated views."""
-    rows = features(spark, sf_dir).filter(F.trim("text") != "").select("doc_id", "canonical_sha256", "family_signature")
+    rows = features(spark, sf_dir, U.signatures).filter("not blank").select("doc_id", "canonical_sha256", "family_signature")
     exact = J.top_per_key(rows, ["canonical_sha256"], ["doc_id"]).drop("rank_in_group")
     family = J.top_per_key(exact, ["family_signature"], ["doc_id"]).drop("rank_in_group")
     n = lambda d, v: d.agg(F.count("*").alias("n")).select(F.lit(v).alias("view"), "n")
@@ -123,7 +122,7 @@ def cluster_evidence(spark, sf_dir):
 @query("family_pairs", f"WITH {SQL_VIEWS}, m AS (SELECT family_signature, doc_id AS a, lead(doc_id) OVER w AS b, row_number() OVER w AS r, count(*) OVER (PARTITION BY family_signature) AS n FROM families WHERE eligible WINDOW w AS (PARTITION BY family_signature ORDER BY doc_id)), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, family_signature) AS k FROM m WHERE r = 1 AND n > 1), o AS (SELECT *, row_number() OVER (ORDER BY sha256('7|family|' || family_signature)) AS j FROM p WHERE k > 10) SELECT family_signature, a, b, n, 'census' AS selection FROM p WHERE k <= 10 UNION ALL SELECT family_signature, a, b, n, 'sample' FROM o WHERE j <= 15")
 def family_pairs(spark, sf_dir):
     """DU12, CF7, JN7, WN6: pairs of the largest families and of a hash-ordered sample of others."""
-    return U.family_pairs(features(spark, sf_dir).filter("family_eligible"), "family_signature", "doc_id", 10, 15, 7)
+    return U.family_pairs(features(spark, sf_dir, U.signatures).filter("family_eligible"), "family_signature", "doc_id", 10, 15, 7)
 
 
 @query("benchmark_overlap", """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM benchmark),
