@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read
+from corpusloom.llm.common import read, slices
 
 #: Hashed places of the n-grams.
 PLACES = 1 << 12
 CENTROIDS = 3
 #: Labelled rows that a model is fitted on, at most about, over all languages; documented bound on the driver's work.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 #: Characters that n-grams are counted in at a time; a text's parts overlap, so that nothing is lost.
 PART = 1 << 20
 #: A text is rejected if its cosine is under the lowest of its language's training rows times this.
@@ -119,16 +119,16 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(rows: list[tuple[str, np.ndarray]], centroids: int = CENTROIDS) -> Model:
-    """rows: language and counts."""
-    if not rows:
+def fit(languages: list[str], x: np.ndarray, centroids: int = CENTROIDS) -> Model:
+    """languages and counts by row; the counts are weighed in place."""
+    if not languages:
         return Model(np.ones(PLACES, np.float32), np.zeros((0, PLACES), np.float32), [], np.zeros(0))
-    counts = np.stack([c for _, c in rows])
-    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    model = Model(idf, np.zeros((0, PLACES), np.float32), [], np.zeros(0))
-    x = model.weigh(counts)
+    idf = (np.log((1 + len(languages)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     parts, names, bounds = [], [], []
-    labels = np.array([language for language, _ in rows])
+    labels = np.array(languages)
     for language in sorted(set(labels)):
         own = x[labels == language]
         found = cluster(own, centroids)
@@ -146,7 +146,7 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int =
         rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, places, values = [], [], []
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and (counts := count_grams(text)) is not None:
@@ -156,28 +156,27 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int =
                     values.append(counts[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["lang", "places", "counts"])
 
-    found = []
-    for row in rows.select("text", "lang").mapInArrow(grams, "lang string, places binary, counts binary").toLocalIterator():
-        counts = np.zeros(PLACES, np.float32)
-        counts[np.frombuffer(row.places, "<u2")] = np.frombuffer(row.counts, "<f4")
-        found.append((row.lang, counts))
-    return fit(found)
+    found = list(rows.select("text", "lang").mapInArrow(grams, "lang string, places binary, counts binary").toLocalIterator())
+    x = np.zeros((len(found), PLACES), np.float32)
+    for own, row in zip(x, found, strict=True):
+        own[np.frombuffer(row.places, "<u2")] = np.frombuffer(row.counts, "<f4")
+    return fit([row.lang for row in found], x)
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns (all by default) and lang_pred, score, rejected."""
     carry = df.columns if carry is None else carry
     rows = df.select(*[F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(carry)], F.col(f"`{text_col}`").alias("text"))
-    schema = ", ".join(f"c_{k} {rows.schema[f'c_{k}'].dataType.simpleString()}" for k in range(len(carry)))
+    schema = "".join(f"c_{k} {rows.schema[f'c_{k}'].dataType.simpleString()}, " for k in range(len(carry)))
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: places by languages and centroids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
             columns = [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
-    found = rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    found = rows.mapInArrow(run, f"{schema}lang_pred string, score double, rejected boolean")
     return found.select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)], "lang_pred", "score", "rejected")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read
+from corpusloom.llm.common import read, slices
 from corpusloom.llm.tokens import encoder
 
 #: Rows that are packed together at most; a bound on memory and on the work of one differencing, at every size.
@@ -147,7 +147,7 @@ def pack_documents(
             total = 0
             return pa.RecordBatch.from_arrays(out, names=["id", *names, *["ids"] * keep_ids])
 
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(separator))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read
+from corpusloom.llm.common import read, slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: What the anchors of schemes and identifier cues add.
@@ -150,7 +150,7 @@ def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[{"kind": k, "start": s, "end": e, "value": text[s:e]} for found in find_spans(text).values() for k, s, e in found] for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["id", "spans"])
 

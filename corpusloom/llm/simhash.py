@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read, stage_table
+from corpusloom.llm.common import read, slices, stage_table
 from corpusloom.llm.components import components
 
 BLOCKS = 4
@@ -56,7 +56,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.select(F.col(f"`{id_col}`").alias("id")).schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bits = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["id", "bits"])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read
+from corpusloom.llm.common import read, slices
 from corpusloom.llm.lattice import Vocabulary, by_length
 from corpusloom.llm.tokens import ENDS, LONGEST, PLAIN, PLAIN_TEXT, REMEMBERED, byte_letters, load_tokenizer, word_pattern
 
@@ -195,7 +195,7 @@ def count_tokens(df: DataFrame, tokenizer: str, budget: int | None = None, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             counts = own.counts(texts, budget)
             columns = [batch.column(0), batch.column(1), pa.array([n for n, _ in counts], pa.int64())]

@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks, and words, in each of the two generations of an encoder's memory. A bound on memory only: results are the same.
+#: Chunks, and twice the words, in each of the two generations of an encoder's memory. A bound on memory only: results are the same.
 REMEMBERED = 1 << 18
 #: Longer chunks and words aren't remembered.
 LONGEST = 48
@@ -93,7 +93,7 @@ class Encoder:
         self.model = self.tokenizer.model
         pattern = word_pattern(path)
         self.split = regex.compile(pattern).findall if pattern else None
-        self.words, self.chunks = Memory(self.word), Memory(self.chunk)
+        self.words, self.chunks = Memory(self.word, REMEMBERED // 2), Memory(self.chunk)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
