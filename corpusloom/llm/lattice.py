@@ -219,8 +219,8 @@ class Vocabulary:
             last[:, end] = np.where(piece >= 0, piece, self.size - 1)
         return last
 
-    def trace(self, last: np.ndarray) -> list[list[int]]:
-        """The pieces of each word, along the back pointers."""
+    def trace(self, last: np.ndarray) -> np.ndarray:
+        """The pieces of each word in its row, along the back pointers; -1 before the first of the shorter rows."""
         n, width = last.shape
         at = np.full(n, width - 1)
         steps = []
@@ -228,9 +228,7 @@ class Vocabulary:
             piece = np.where(at > 0, last[np.arange(n), at], -1)
             steps.append(piece)
             at = at - np.where(at > 0, self.lengths[piece], 0)
-        if not steps:
-            return [[] for _ in range(n)]
-        return [[p for p in row if p >= 0] for row in np.stack(steps[::-1], axis=1).tolist()]
+        return np.stack(steps[::-1], axis=1) if steps else np.empty((n, 0), np.int64)
 
 
 def by_length(words: list[bytes], width: int = 1):

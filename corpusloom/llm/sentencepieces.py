@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read
+from corpusloom.llm.common import read, slices
 from corpusloom.llm.lattice import Vocabulary, by_length
 from corpusloom.llm.tokens import REMEMBERED
 
@@ -64,6 +64,7 @@ class Codec:
         self.ids = np.array([*normal, -1], np.int64)
         texts = [model.pieces[k].piece for k in normal]
         pieces = [tuple(ord(c) + 1 for c in t) for t in texts]
+        self.adjacent = {t[k : k + 2] for t in texts for k in range(len(t) - 1)}
         scores = [model.pieces[k].score for k in normal]
         self.scores = np.array([*scores, 0.0], np.float32)
         self.table = [b""] * len(model.pieces)
@@ -89,7 +90,15 @@ class Codec:
         return merges
 
     def _units(self, units: list[str]) -> dict[str, bytes]:
-        """Ids by unit, as unsigned 32-bit numbers."""
+        """Ids by unit, as unsigned 32-bit numbers; and by what units were cut into. A last symbol that never follows the one before it in a piece is a unit of its own."""
+        cut = {u: (u[:-1], u[-1]) for u in units if len(u) > 2 and u[-2:] not in self.adjacent}
+        needed = dict.fromkeys(u for u in units if u not in cut) | dict.fromkeys(p for pair in cut.values() for p in pair)
+        new, old = self.memory
+        known = {p: ids for p in needed if (ids := new.get(p, old.get(p))) is not None}
+        known |= self._lattice([p for p in needed if p not in known])
+        return known | {u: known[head] + known[tail] for u, (head, tail) in cut.items()}
+
+    def _lattice(self, units: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
         odd = [u for u in units if u.startswith(SPACE * 2)] if self.kind == _BPE else []  # runs of spaces merge at one rank, which the lattice can't order
         if odd:
@@ -103,11 +112,14 @@ class Codec:
                 last = self.vocabulary.last_pieces(rows)[0]
             else:
                 last = self.vocabulary.best_pieces(rows, self.scores, float(self.scores[:-1].min(initial=0.0)) - UNKNOWN_COST)
-            for i, numbers in zip(part, self.vocabulary.trace(last), strict=True):
-                ids = self.ids[numbers]
-                if ids.size and ids.min() < 0:
-                    ids = self._with_unknown(units[i], numbers)
-                out[units[i]] = np.asarray(ids, "<u4").tobytes()
+            numbers = self.vocabulary.trace(last)
+            held = numbers >= 0
+            raw = self.ids[numbers[held]].astype("<u4").tobytes()
+            ends = (4 * np.cumsum(held.sum(1))).tolist()
+            out.update(zip([units[i] for i in part], map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            for row in np.flatnonzero((numbers == self.vocabulary.size - 1).any(1)).tolist():
+                unit = units[part[row]]
+                out[unit] = np.array(self._with_unknown(unit, numbers[row][held[row]].tolist()), "<u4").tobytes()
         return out
 
     def _with_unknown(self, unit: str, numbers: list[int]) -> list[int]:
@@ -153,7 +165,7 @@ def _map(df: DataFrame, column: str, make, fields: list[tuple[str, pa.DataType,
     kind = df.select(F.col(f"`{id_col}`").alias("id")).schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = make(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, (_, t, _) in zip(made, fields, strict=True)]], names=["id", *[n for n, _, _ in fields]])
 
