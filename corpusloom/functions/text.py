@@ -247,3 +247,17 @@ def label_lines(**values: Column) -> Column:
 
 def safe_text(value: Column) -> Column:
     return squeeze(F.coalesce(value.cast("string"), F.lit("")))
+
+
+def match_positions(text: Column, pattern: str) -> Column:
+    """array<struct<start, match>> of all matches, from what stands between them; starts from 0. text: a column that is cheap to name again."""
+    kind = "array<struct<start: int, match: string>>"
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.get(F.transform(F.array(F.struct(gaps.alias("g"), hits.alias("h"))), lambda p: F.transform(p["h"], lambda h, k: F.struct(F.length(F.get(p["g"], k)).alias("gap"), h.alias("h")))), 0)
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        start = a["at"] + p["gap"]
+        return F.struct((start + F.length(p["h"])).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), p["h"].alias("match")))).alias("out"))
+
+    return F.aggregate(pairs, state, step, lambda a: a["out"])

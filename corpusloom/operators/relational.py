@@ -138,3 +138,10 @@ def set_report(a: DataFrame, b: DataFrame) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two frames hold the same bag of rows."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def mismatches(df: DataFrame, reference: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, column_name) of cells that differ from the reference; a null equals a null only."""
+    other = reference.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
+    differs = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(c)) for c in columns]))
+    return df.join(other, list(keys)).select(*keys, F.explode(differs).alias("column_name"))
