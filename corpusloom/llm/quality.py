@@ -48,25 +48,35 @@ _SPACES = r"[\x20\x09-\x0D]"
 
 
 def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+    """The text without these characters; a search that finds none costs little, which a table of characters does not."""
+    for c in characters:
+        text = F.replace(text, F.lit(c))
+    return text
 
 
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(WS))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that holds a word is to be removed."""
+def holds_boilerplate(low: Column) -> Column:
+    found = F.lit(False)
+    for phrase in BOILERPLATE:
+        found |= F.contains(low, F.lit(phrase))
+    return found
+
+
+def line_fails(line: Column, suspect: Column) -> Column:
+    """Whether a line that holds a word is to be removed. suspect: whether its document holds a boilerplate phrase at all. Costly tests stand behind cheap ones."""
     body = F.length(without(line, WS))
     symbols = F.length(line) - F.length(without(line, SYMBOLS))
     bars = F.length(line) - F.length(without(line, "|"))
-    words = F.size(F.split(trimmed(line), f"{_SPACES}+"))
+    word, gap = r"[^\x20\x09-\x0D]+", f"{_SPACES}+"
+    enough_words = f"^{_SPACES}*{gap.join([word] * FRAGMENT_WORDS)}"
     return (
-        (symbols > MAX_SYMBOL_SHARE * body)
-        | (bars >= NAVIGATION_BARS)
-        | F.lower(line).rlike("|".join(BOILERPLATE))
+        (line.rlike(f"[{SYMBOLS}]") & ((symbols > MAX_SYMBOL_SHARE * body) | (bars >= NAVIGATION_BARS)))
         | ~line.rlike(r"\p{L}")
-        | ((words < FRAGMENT_WORDS) & ~line.rlike(rf"[\p{{P}}]{_SPACES}*$"))
+        | (~line.rlike(enough_words) & ~line.rlike(rf"[\p{{P}}]{_SPACES}*$"))
+        | (suspect & holds_boilerplate(F.lower(line)))
     )
 
 
@@ -79,13 +89,14 @@ def judge(df: DataFrame, text_col: str = "text", carry: list[str] | None = None)
     rows = once(
         rows,
         words=F.transform(F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{_SPACES}+")), lambda w: F.xxhash64(w)),
-        lines=F.filter(F.split("text", "\n"), lambda x: without(x, WS) != ""),
+        lines=F.filter(F.split("text", "\n"), lambda x: trimmed(x) != ""),
+        suspect=F.exists(F.array(F.lower("text")), holds_boilerplate),
     )
-    windows = F.when(
-        F.size("words") >= WINDOW,
-        F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)])),
-    ).otherwise(F.array().cast("array<bigint>"))
-    rows = once(rows, windows=windows, good=F.filter("lines", lambda x: ~line_fails(x)))
+    # hashes of 2, 4 and then 8 neighbouring words, each from two of the step before
+    joined = lambda c, gap: F.transform(c, lambda h, i: F.xxhash64(h, F.get(c, i + gap)))
+    rows = once(rows, pairs=joined("words", 1), good=F.filter("lines", lambda x: ~line_fails(x, F.col("suspect"))))
+    rows = once(rows, quads=joined("pairs", 2))
+    rows = once(rows, windows=F.slice(joined("quads", 4), F.lit(1), F.greatest(F.lit(0), F.size("words") - (WINDOW - 1))))
     again = F.size(F.array_distinct("windows")) < F.size("windows")
     ordered = F.when(again, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h: bigint, i: int>>"))
     rows = once(rows, ordered=ordered)
@@ -116,3 +127,34 @@ def judge(df: DataFrame, text_col: str = "text", carry: list[str] | None = None)
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"), carry=["doc_id"]).drop("clean_text")
+
+
+_WORD_SQL = "[^\\x20\\x09-\\x0D]+"
+_PHRASES_SQL = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '{_WORD_SQL}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD_SQL}')) AS ls FROM d
+), g AS (
+  SELECT row_no, i, list_aggregate(ws[i:i + 7], 'string_agg', ' ') AS win FROM (SELECT row_no, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)
+), s AS (
+  SELECT row_no, i FROM (SELECT row_no, i, count(*) OVER (PARTITION BY row_no, win) AS n FROM g) WHERE n > 1
+), r AS (
+  SELECT row_no, CAST(sum(c) AS BIGINT) AS n FROM (SELECT row_no, least(8, i - lag(i, 1, i - 8) OVER (PARTITION BY row_no ORDER BY i)) AS c FROM s) GROUP BY row_no
+), l AS (
+  SELECT row_no, length(x) AS n, length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS plain, length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g')) AS body, length(replace(x, '|', '')) AS unbarred, x
+  FROM (SELECT row_no, unnest(ls) AS x FROM w)
+), f AS (
+  SELECT row_no, sum(n) AS line_chars, coalesce(sum(n) FILTER (
+    n - plain > {MAX_SYMBOL_SHARE}::DOUBLE * body OR n - unbarred >= {NAVIGATION_BARS} OR NOT regexp_matches(x, '\\p{{L}}') OR {_PHRASES_SQL}
+    OR (len(regexp_extract_all(x, '{_WORD_SQL}')) < {FRAGMENT_WORDS} AND NOT regexp_matches(x, '\\p{{P}}[\\x20\\x09-\\x0D]*$'))), 0) AS lost FROM l GROUP BY row_no
+), a AS (
+  SELECT doc_id, len(ws) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(f.lost, 0) AS BIGINT) AS lost_chars, coalesce(f.line_chars, 0) AS line_chars
+  FROM w LEFT JOIN r USING (row_no) LEFT JOIN f USING (row_no)
+), b AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM a
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, NOT base_failed AND lost_chars <= {MAX_LOST_SHARE}::DOUBLE * line_chars AS kept FROM b
+"""
