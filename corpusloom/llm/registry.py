@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import topk
+from corpusloom.llm import quality, secrets, topk
 from corpusloom.llm.langid import op7_language
 from corpusloom.llm.licenses import op2_licenses
 from corpusloom.llm.packing import op9_packing
 from corpusloom.llm.pii import op3_pii
-from corpusloom.llm.quality import op6_quality
-from corpusloom.llm.secrets import op5_secrets
 from corpusloom.llm.sentencepieces import op1_sentencepiece
 from corpusloom.llm.simhash import op4_simhash
 from corpusloom.llm.tokencount import op10_token_counts
@@ -18,8 +16,8 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
-    "op5_secrets": op5_secrets,
-    "op6_quality": op6_quality,
+    "op5_secrets": secrets.op5_secrets,
+    "op6_quality": quality.op6_quality,
     "op7_language": op7_language,
     "op8_top_k": topk.op8_top_k,
     "op9_packing": op9_packing,
@@ -27,5 +25,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_secrets": secrets.SQL,
+    "op6_quality": quality.SQL,
     "op8_top_k": topk.SQL,
 }

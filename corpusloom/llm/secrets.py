@@ -122,3 +122,25 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         count("n_live", lambda s: s["live"]),
         count("n_copied", lambda s: s["n_owners"] > MAX_OWNERS),
     )
+
+
+def _spans_sql(number: int, kind: str) -> str:
+    pattern, group = KINDS[kind]
+    quoted = pattern.replace("'", "''")
+    value = f"regexp_extract(hit, '{quoted}', 1)" if group else "hit"
+    least = f" WHERE length(value) >= {MIN_ASSIGNED}" if kind == "assign" else ""
+    return f"""SELECT row_no, {number} AS kind_no, '{kind}' AS kind, start, start + length(hit) AS "end", value FROM (SELECT row_no, hit, {value} AS value,
+    CAST(list_sum([length(x) FOR x IN gaps[1:k]]) + coalesce(list_sum([length(x) FOR x IN hits[1:k - 1]]), 0) AS BIGINT) AS start
+    FROM (SELECT row_no, gaps, hits, k, hits[k] AS hit FROM (SELECT row_no, gaps, hits, unnest(range(1, len(hits) + 1)) AS k FROM (SELECT row_no, string_split_regex(t, '{quoted}') AS gaps, regexp_extract_all(t, '{quoted}') AS hits FROM d)))){least}"""
+
+
+_LIST_SQL = "coalesce(string_agg(kind || ':' || start || ':' || \"end\", ',' ORDER BY start, kind_no){}, '')"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner FROM documents),
+s AS ({" UNION ALL ".join(_spans_sql(n, k) for n, k in enumerate(KINDS))}),
+o AS (SELECT value, count(DISTINCT owner) AS n_owners FROM s JOIN d USING (row_no) GROUP BY value),
+m AS (SELECT s.*, n_owners, n_owners <= {MAX_OWNERS} AND len(list_distinct(string_split(value, ''))) >= {MIN_VARIETY} AND NOT regexp_matches(lower(value), '{"|".join(SAMPLE_WORDS)}') AS live FROM s JOIN o USING (value))
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)},
+  sha256({_LIST_SQL.format(" FILTER (kind_no < " + str(len(BASE)) + ")")}) AS base_sha256, {_LIST_SQL.format("")} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (n_owners > {MAX_OWNERS}) AS n_copied
+FROM d LEFT JOIN m USING (row_no) GROUP BY row_no, doc_id
+"""
