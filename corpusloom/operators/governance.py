@@ -137,3 +137,26 @@ def validate_rules(rules: dict[str, dict], required: dict[str, Sequence[str]], e
             problems.append(f"{path} is {rules[area][key]!r}")
     if problems:
         raise GateError("; ".join(problems))
+
+
+def bound_inputs(files: DataFrame, expected: dict[str, str]) -> None:
+    """Every named file is there with the digest that a decision was made for; a table of few files. files: path, sha256."""
+    found = {r["path"].rsplit("/", 1)[-1]: r["sha256"] for r in files.select("path", "sha256").collect()}  # a row a file
+    wrong = sorted(n for n, d in expected.items() if found.get(n) != d)
+    if wrong:
+        raise GateError(f"inputs are missing or changed: {wrong}")
+
+
+def decision_gate(record: dict, approvals: Sequence[str], coverage: tuple[int, int] | None = None) -> None:
+    """A release record on the driver: every approval signed and dated, nothing pending, and as many rows reviewed as there are."""
+    problems = []
+    for name in approvals:
+        entry = record.get(name) or {}
+        if entry.get("decision") != "approve":
+            problems.append(f"{name} is not approved")
+        if not entry.get("reviewer") or not entry.get("reviewed_utc"):
+            problems.append(f"{name} is not signed and dated")
+    if coverage is not None and coverage[0] != coverage[1]:
+        problems.append(f"{coverage[0]} of {coverage[1]} rows are reviewed")
+    if problems:
+        raise GateError("; ".join(problems))

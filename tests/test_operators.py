@@ -280,3 +280,27 @@ def test_streams(spark, tmp_path):
     first.processAllAvailable()
     first.stop()
     assert spark.sql("select count(*) from firsts").first()[0] == rows.select("event_id").distinct().count()
+
+
+def test_bound_inputs_and_decisions(spark, tmp_path):
+    import hashlib
+
+    from corpusloom.sources.readers import file_table
+
+    (tmp_path / "a.txt").write_bytes(b"x")
+    files = file_table(spark, str(tmp_path / "a.txt"))
+    G.bound_inputs(files, {"a.txt": hashlib.sha256(b"x").hexdigest()})
+    for wrong in ({"a.txt": "0"}, {"b.txt": "0"}):
+        with pytest.raises(G.GateError):
+            G.bound_inputs(files, wrong)
+    signed = {"privacy": {"decision": "approve", "reviewer": "r", "reviewed_utc": "2026-01-01T00:00:00Z"}}
+    G.decision_gate(signed, ["privacy"], (20, 20))
+    for record, approvals, cover in ((signed, ["privacy", "register"], None), (signed, ["privacy"], (19, 20)), ({"privacy": {"decision": "approve"}}, ["privacy"], None)):
+        with pytest.raises(G.GateError):
+            G.decision_gate(record, approvals, cover)
+
+
+def test_mismatches(spark):
+    a = spark.createDataFrame([(1, "x", None), (2, "y", "z")], "id int, p string, q string")
+    b = spark.createDataFrame([(1, "x", "w"), (2, "y", "z")], "id int, p string, q string")
+    assert [tuple(r) for r in J.mismatches(a, b, ["id"], ["p", "q"]).collect()] == [(1, "q")]
