@@ -145,3 +145,8 @@ def mismatches(df: DataFrame, reference: DataFrame, keys: Sequence[str], columns
     other = reference.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
     differs = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(c)) for c in columns]))
     return df.join(other, list(keys)).select(*keys, F.explode(differs).alias("column_name"))
+
+
+def beside(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Each row with the columns of a one-row frame, as scalar subqueries: no join, and an error if there were more rows."""
+    return df.withColumns({c: totals.select(c).scalar() for c in totals.columns})

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import key_json
+from corpusloom.operators.relational import beside
 
 MISSING = "<NA>"
 
@@ -127,7 +128,7 @@ def capped_pool(df: DataFrame, protected: Column, n: int, key: Column) -> DataFr
     safe = df.filter(F.coalesce(protected, F.lit(False))).withColumn("pool_weight", F.lit(1.0))
     others = df.filter(~F.coalesce(protected, F.lit(False)))
     total = others.agg(F.count("*").alias("__n"))
-    drawn = others.orderBy(key).limit(n).crossJoin(F.broadcast(total))  # one row
+    drawn = beside(others.orderBy(key).limit(n), total)
     return safe.unionByName(drawn.withColumn("pool_weight", F.greatest(F.lit(1.0), F.col("__n") / n)).drop("__n"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.relational import running_sum
+from corpusloom.operators.relational import beside, running_sum
 
 Z95 = 1.959964
 
@@ -54,7 +54,7 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, quantiles: Sequen
     total = points.agg(F.sum("w").alias("total"))  # one row
     # rows of one value lie next to each other: the midpoints of the first and the last bracket the others
     middles = F.array(F.col("cum") - F.col("w") + F.col("w1") / 2, F.col("cum") - F.col("w1") / 2)
-    ends = run.crossJoin(F.broadcast(total)).select("x", F.explode(middles).alias("m"), "total").select("x", (F.col("m") / F.col("total")).alias("p"))
+    ends = beside(run, total).select("x", F.explode(middles).alias("m"), "total").select("x", (F.col("m") / F.col("total")).alias("p"))
     parts = []
     for k, q in enumerate(quantiles):
         parts += [F.max(F.when(F.col("p") <= q, F.struct("p", "x"))).alias(f"lo{k}"), F.min(F.when(F.col("p") > q, F.struct("p", "x"))).alias(f"hi{k}")]
@@ -140,7 +140,7 @@ def split_table(df: DataFrame, category: str, split: str, splits: Sequence[str])
     """Counts and shares by split, their ratio and gap, for the first two splits."""
     counts = df.groupBy(category).agg(*[F.count(F.when(F.col(split) == s, 1)).alias(f"n_{s}") for s in splits])
     totals = df.agg(*[F.count(F.when(F.col(split) == s, 1)).alias(f"t_{s}") for s in splits])
-    out = counts.crossJoin(F.broadcast(totals))  # one row of totals
+    out = beside(counts, totals)
     for s in splits:
         out = out.withColumn(f"share_{s}", F.try_divide(F.col(f"n_{s}").cast("double"), F.col(f"t_{s}").cast("double")))
     a, b = (F.col(f"share_{s}") for s in splits[:2])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.relational import beside
 
 # Fixed value: the tokens of term statistics.
 TOKEN = r"\b[a-zA-Z][a-zA-Z'-]{1,}\b"
@@ -42,7 +43,7 @@ def keyness(terms: DataFrame, group: str, a: str, b: str, prior: float = 1000.0)
     """(term, count_a, count_b, z): log odds with an informative prior, standardised."""
     counts = terms.groupBy("term").agg(F.sum("tf").alias("c"), *[F.coalesce(F.sum(F.when(F.col(group) == v, F.col("tf"))), F.lit(0)).alias(f"count_{s}") for s, v in (("a", a), ("b", b))])
     totals = counts.agg(F.sum("c").alias("c_all"), F.sum("count_a").alias("n_a"), F.sum("count_b").alias("n_b"))
-    x = counts.crossJoin(F.broadcast(totals))  # one row of totals
+    x = beside(counts, totals)
     alpha = F.col("c") * prior / F.col("c_all")
     clip = lambda c: F.greatest(F.lit(1e-12), c)
     odds = lambda y, n: F.log(clip(y + alpha)) - F.log(clip(n + prior - y - alpha))

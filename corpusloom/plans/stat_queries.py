@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators import relational as J
 from corpusloom.operators import stats as S
 from corpusloom.operators import textstats as T
 from corpusloom.plans.catalog import query, table
@@ -44,7 +45,7 @@ def label_sets(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select(
         pick(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")).alias("g"), pick(F.when(F.col("doc_id") % 3 > 0, "good"), F.when(F.col("doc_id") % 5 == 0, "toxic")).alias("f")
     )
-    found = S.label_set_metrics(rows, "g", "f").crossJoin(rows.agg(F.avg(S.set_jaccard(F.col("g"), F.col("f"))).alias("mean_jaccard")))  # one row each
+    found = J.beside(S.label_set_metrics(rows, "g", "f"), rows.agg(F.avg(S.set_jaccard(F.col("g"), F.col("f"))).alias("mean_jaccard")))
     return found.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("exact_set_accuracy", "precision", "recall", "f1", "mean_jaccard")])
 
 
@@ -154,7 +155,7 @@ def term_rates(spark, sf_dir):
     """ST6: frequencies per ten thousand words."""
     tf = terms(spark, sf_dir)
     total = tf.agg(F.sum("tf").alias("total"))
-    counts = tf.groupBy("term").agg(F.sum("tf").alias("n")).crossJoin(F.broadcast(total))  # one row
+    counts = J.beside(tf.groupBy("term").agg(F.sum("tf").alias("n")), total)
     return T.per_ten_thousand(counts, "n", F.col("total")).select("term", "n", F.round("per_10k", 6).alias("per_10k"))
 
 
@@ -189,6 +190,6 @@ def reference_distribution(spark, sf_dir):
     out = None
     for block, x in (("unweighted", F.count("*").cast("double")), ("weighted", F.sum("w"))):
         sums = docs.groupBy("lang").agg(x.alias("x"))
-        part = sums.crossJoin(F.broadcast(docs.agg(x.alias("total")))).select(F.lit(block).alias("block"), "lang", F.round(F.col("x") / F.col("total"), 9).alias("share"))  # one row of totals
+        part = J.beside(sums, docs.agg(x.alias("total"))).select(F.lit(block).alias("block"), "lang", F.round(F.col("x") / F.col("total"), 9).alias("share"))
         out = part if out is None else out.union(part)
     return out
