@@ -27,14 +27,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; of rows that share that id, one."""
-    found = simhash.near_duplicates(docs.filter(F.col("doc_id").isNotNull()))
-    first = stage_table(found.filter(F.col("doc_id") == F.col("component")).select("doc_id").distinct(), "firsts")
-    kept = docs.join(first, "doc_id").select(*docs.columns)
-    # rows of one id are rare; of those the first in the order of their text stays
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row"))
-    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    """Of each group of near-duplicates the document with the smallest id; of rows that share that id, one. Documents without an id come after all others and stay if their group has no other."""
+    # far above any id, and the same for equal texts
+    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+    keyed = docs.withColumn("__key", F.coalesce("doc_id", stand_in))
+    found = simhash.near_duplicates(keyed, id_col="__key")
+    first = stage_table(found.filter(F.col("__key") == F.col("component")).select("__key").distinct(), "firsts")
+    kept = keyed.join(first, "__key")
+    # rows of one id are rare; of those the first in the order of their columns stays
+    one = kept.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return one.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
