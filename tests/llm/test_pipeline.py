@@ -56,6 +56,8 @@ def test_stages_on_odd_rows(spark, make):
     assert len(ids) == len(set(ids))
     if make == "empty":
         assert found["packing"].count() == 0
+    else:  # a clean document without an id stays
+        assert found["quality"].filter("doc_id is null").count() == 1 == len([i for i in ids if i is None])
 
 
 def test_rejected_languages_go(spark):
