@@ -11,11 +11,12 @@ import functools
 import json
 import os
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks, and twice the words, in each of the two generations of an encoder's memory. A bound on memory only: results are the same.
+#: Chunks, and words, in each of the two generations of an encoder's memory. A bound on memory only: results are the same.
 REMEMBERED = 1 << 18
 #: Longer chunks and words aren't remembered.
 LONGEST = 48
@@ -93,20 +94,22 @@ class Encoder:
         self.model = self.tokenizer.model
         pattern = word_pattern(path)
         self.split = regex.compile(pattern).findall if pattern else None
-        self.words, self.chunks = Memory(self.word, REMEMBERED // 2), Memory(self.chunk)
+        self.words, self.chunks = Memory(self.word), Memory(self.chunk)
+        self.plain = False  # whether the text at hand is known to be plain
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(spelled(word))], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(spelled(word))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if not PLAIN.fullmatch(chunk) or "<|" in chunk:
+        if not self.plain and (not PLAIN.fullmatch(chunk) or "<|" in chunk):
             return self.whole(chunk)
-        low = chunk.lower()
+        low = chunk if self.plain else chunk.lower()
         if low.isalpha():
             return self.words[low]
         if low[:-1].isalpha() and low[-1] in ENDS:
@@ -116,7 +119,8 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if self.split is None:
             return np.frombuffer(self.whole(text), "<u4")
-        if PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+        self.plain = bool(PLAIN_TEXT.fullmatch(text)) and "<|" not in text
+        if self.plain:
             text = text.lower()
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
 
