@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, packing, quality, secrets, simhash
+from corpusloom.llm import langid, nearcopies, packing, quality, secrets
 from corpusloom.llm.common import read, stage_table
 
 
@@ -27,11 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; of rows that share that id, one. Documents without an id come after all others and stay if their group has no other."""
+    """Of each group of near-duplicates, linked by 5-word shingles with a Jaccard similarity of 0.8 or more, the document with the smallest id; of rows that share that id, one. Documents without an id come after all others and stay if their group has no other."""
     # far above any id, and the same for equal texts
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
     keyed = docs.withColumn("__key", F.coalesce("doc_id", stand_in))
-    found = simhash.near_duplicates(keyed, id_col="__key")
+    found = nearcopies.near_copies(keyed, id_col="__key")
     first = stage_table(found.filter(F.col("__key") == F.col("component")).select("__key").distinct(), "firsts")
     kept = keyed.join(first, "__key")
     # rows of one id are rare; of those the first in the order of their columns stays
