@@ -249,15 +249,37 @@ def safe_text(value: Column) -> Column:
     return squeeze(F.coalesce(value.cast("string"), F.lit("")))
 
 
+#: Matches whose lengths are summed together; sums of whole blocks come first, so that work grows little faster than the matches.
+BLOCK = 64
+
+
+def match_starts(gaps: Column, hits: Column) -> Column:
+    """Where each hit starts, from 0: the lengths of what stands before it. gaps: what stands between hits, the text's beginning first."""
+    steps = F.transform(hits, lambda h, k: F.length(F.get(gaps, k)) + F.length(h))
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    blocks = lambda s: F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda b: add(F.slice(s, b * BLOCK + 1, F.lit(BLOCK)))))
+    before = lambda sums: F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), 0)
+    block = lambda k: F.floor(k / BLOCK).cast("int")
+
+    def starts(s: Column, b: Column) -> Column:
+        return F.transform(s, lambda _, k: F.get(b, block(k)) + add(F.slice(s, block(k) * BLOCK + 1, k % BLOCK)) + F.length(F.get(gaps, k)))
+
+    return bound(steps, lambda s: bound(before(blocks(s)), lambda b: starts(s, b)))
+
+
 def match_positions(text: Column, pattern: str) -> Column:
     """array<struct<start, match>> of all matches, from what stands between them; starts from 0. text: a column that is cheap to name again."""
-    kind = "array<struct<start: int, match: string>>"
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.get(F.transform(F.array(F.struct(gaps.alias("g"), hits.alias("h"))), lambda p: F.transform(p["h"], lambda h, k: F.struct(F.length(F.get(p["g"], k)).alias("gap"), h.alias("h")))), 0)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    found = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"))
+    return F.get(F.transform(F.array(found), lambda f: F.transform(F.arrays_zip(match_starts(f["g"], f["h"]).alias("start"), f["h"].alias("match")), lambda z: F.struct(z["start"].alias("start"), z["match"].alias("match")))), 0)
+
+
+def contexts(text: Column, pattern: str, width: int = 80) -> Column:
+    """array<struct<start, end, left, keyword, right>> for every match, in built-in functions. text: a column that is cheap to name again."""
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + p["gap"]
-        return F.struct((start + F.length(p["h"])).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), p["h"].alias("match")))).alias("out"))
+    def around(m: Column) -> Column:
+        end = m["start"] + F.length(m["match"])
+        left = F.substring(text, F.greatest(F.lit(0), m["start"] - width) + 1, F.least(F.lit(width), m["start"]))
+        return F.struct(m["start"].alias("start"), end.alias("end"), left.alias("left"), m["match"].alias("keyword"), F.substring(text, end + 1, F.lit(width)).alias("right"))
 
-    return F.aggregate(pairs, state, step, lambda a: a["out"])
+    return F.transform(match_positions(text, pattern), around)

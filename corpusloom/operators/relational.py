@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.storage import saved
+
 
 def join_one_to_one(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """An equi-join after a check that no key repeats on either side."""
@@ -96,27 +98,30 @@ def sequential_ids(df: DataFrame, prefix: str, order: Sequence[Column | str], wi
 
 
 def _ranged(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    """Sorted ranges of fixed number: both readers of the result see the same ones."""
+    """Sorted ranges, with the range's number and the row's place in it; written once, so that all readers see the same ranges whatever columns they read."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    sorted_rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return saved(sorted_rows.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}))
+
+
+def _before(ranged: DataFrame, total: Column) -> DataFrame:
+    """(__p, __before): the total of the ranges before each; a row a range."""
+    sums = ranged.groupBy("__p").agg(total.alias("s"))
+    return sums.select("__p", F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
 
 
 def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "row_number") -> DataFrame:
     """Row numbers from 1 in a full order, without a window over all rows."""
-    ranged = _ranged(df, order).withColumn("__i", F.monotonically_increasing_id())
-    counts = ranged.groupBy("__p").count()  # a row a range
-    before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
+    ranged = _ranged(df, order)
     inside = F.col("__i") - F.shiftleft(F.col("__p").cast("bigint"), 33) + 1
-    return ranged.join(before, "__p").withColumn(name, F.col("__before") + inside).drop("__p", "__i", "__before")
+    return ranged.join(_before(ranged, F.count("*")), "__p").withColumn(name, F.col("__before") + inside).drop("__p", "__i", "__before")
 
 
 def running_sum(df: DataFrame, order: Sequence[Column | str], value: str, name: str = "running") -> DataFrame:
     """The sum of all values up to each row in a full order: within sorted ranges, plus the sums of the ranges before."""
     ranged = _ranged(df, order)
-    sums = ranged.groupBy("__p").agg(F.sum(value).alias("s"))  # a row a range
-    before = sums.select("__p", F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("__s", inside).join(before, "__p").withColumn(name, F.col("__before") + F.col("__s")).drop("__p", "__s", "__before")
+    inside = F.sum(value).over(Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__s", inside).join(_before(ranged, F.sum(value)), "__p").withColumn(name, F.col("__before") + F.col("__s")).drop("__p", "__i", "__s", "__before")
 
 
 def union_first(frames: Sequence[DataFrame], key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -16,12 +16,17 @@ TOKEN = r"\b[a-zA-Z][a-zA-Z'-]{1,}\b"
 STOP_WORDS = tuple("a an the and or of to in on at by for from with as is are was were be been it its this that these those i we you he she they them his her their my our your".split())
 
 
+def counted_grams(df: DataFrame, key: str, tokens: Column, sizes: Sequence[int] = (1,), groups: Sequence[str] = ()) -> DataFrame:
+    """(key, groups, term, tf) from token arrays that are already computed."""
+    grams = F.concat(*[tokens if n == 1 else X.ngrams(tokens, n) for n in sizes])
+    return df.select(key, *groups, F.explode(grams).alias("term")).groupBy(key, *groups, "term").agg(F.count("*").alias("tf"))
+
+
 def term_table(df: DataFrame, key: str, text: Column, sizes: Sequence[int] = (1,), stop: Sequence[str] = STOP_WORDS, groups: Sequence[str] = ()) -> DataFrame:
     """(key, groups, term, tf): n-grams after stop words are gone. Tokens are hashed to no ids: the terms are the rows."""
     tokens = F.filter(X.words(text, TOKEN), lambda t: ~t.isin(*stop)) if stop else X.words(text, TOKEN)
     rows = df.select(F.col(key), *groups, F.inline(F.array(F.struct(tokens.alias("tokens")))))
-    grams = F.concat(*[F.col("tokens") if n == 1 else X.ngrams(F.col("tokens"), n) for n in sizes])
-    return rows.select(key, *groups, F.explode(grams).alias("term")).groupBy(key, *groups, "term").agg(F.count("*").alias("tf"))
+    return counted_grams(rows, key, F.col("tokens"), sizes, groups)
 
 
 def tfidf(terms: DataFrame, n_docs: int, key: str, min_df: int = 1, max_df: float = 1.0, max_terms: int | None = None) -> DataFrame:

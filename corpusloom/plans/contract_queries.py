@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import features as V
 from corpusloom.functions import text as X
 from corpusloom.operators import governance as G
-from corpusloom.operators.duplicates import shared_folder
+from corpusloom.operators.storage import new_folder
 from corpusloom.operators.relational import same_rows
 from corpusloom.plans.catalog import query, table
 from corpusloom.sources import readers as I
@@ -19,7 +19,7 @@ from corpusloom.sources import writers as O
 @query("file_round_trips", "SELECT format, (SELECT count(*) FROM nation) AS rows, true AS same FROM (VALUES ('csv'), ('tsv to csv'), ('json lines'), ('parquet once'), ('nested json')) AS t(format)")
 def file_round_trips(spark, sf_dir):
     """SC1, SC2, SC5, SC6, SC7, SC12, SK1, SK3, SK4, SK5, SK6: a table written, read again and compared."""
-    base = shared_folder(spark)
+    base = new_folder(spark)
     rows = table(spark, sf_dir, "nation").select(*[F.col(c).cast("string").alias(c) for c in ("n_nationkey", "n_name")])
     strings = "n_nationkey string, n_name string"
     O.write_csv(rows, f"{base}/a")
@@ -43,7 +43,7 @@ def file_round_trips(spark, sf_dir):
 def registry_roles(spark, sf_dir):
     """SC13: entries of a registry and their roles."""
     entries = {"entries": [{"name": "banking intents", "status": "ok", "roles": ["intent", "split"]}, {"name": "summaries", "status": "planned", "roles": ["summary"]}]}
-    path = f"{shared_folder(spark)}/registry"
+    path = f"{new_folder(spark)}/registry"
     spark.createDataFrame([(json.dumps(entries, indent=1),)], "value string").write.text(path)
     return I.registry(spark, path)
 

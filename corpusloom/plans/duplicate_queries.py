@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import duplicates as U
 from corpusloom.operators import relational as J
+from corpusloom.operators import sampling as A
 from corpusloom.operators import stats as S
 from corpusloom.plans.catalog import SQL_VIEWS, query, table
 
@@ -28,10 +29,10 @@ def duplicate_summary(spark, sf_dir):
     return features(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("raw_sha256").alias("distinct_raw"), F.countDistinct("canonical_sha256").alias("distinct_canonical"), F.countDistinct("family_signature").alias("families"), F.max("family_size").alias("largest_family"))
 
 
-@query("old_signatures", "WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g') AS t FROM documents WHERE lang = 'en') SELECT doc_id, sha1(substr(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), 1, 400)) AS signature FROM m")
+@query("old_signatures", "WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g') AS t FROM documents) SELECT doc_id, sha1(substr(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), 1, 400)) AS signature FROM m")
 def old_signatures(spark, sf_dir):
     """TX15: the older signature over the first characters."""
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", X.family_signature_prefix(F.col("text")).alias("signature"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.family_signature_prefix(F.col("text")).alias("signature"))
 
 
 @query("prevalence_views", f"WITH {SQL_VIEWS}, m AS (SELECT length(text) < 500 AS x, row_number() OVER (PARTITION BY raw_sha256 ORDER BY doc_id) AS e, row_number() OVER (PARTITION BY family_signature ORDER BY doc_id) AS f, 1.0::DOUBLE / count(*) OVER (PARTITION BY family_signature) AS w FROM families) SELECT view, round(rate, 9) AS rate FROM (SELECT avg(x::INTEGER) AS raw, avg(x::INTEGER) FILTER (e = 1) AS exact_dedup, avg(x::INTEGER) FILTER (f = 1) AS family_representative, sum(x::INTEGER * w) / sum(w) AS family_equal_weight FROM m) UNPIVOT (rate FOR view IN (raw, exact_dedup, family_representative, family_equal_weight))")
@@ -60,9 +61,21 @@ r AS (SELECT s.k, s.h, sets.n FROM s JOIN sets ON s.k = sets.k),
 pairs AS (SELECT a.k AS a, b.k AS b, count(*) / CAST(any_value(a.n) + any_value(b.n) - count(*) AS DOUBLE) AS jaccard FROM r a JOIN r b ON a.h = b.h AND a.k < b.k GROUP BY a.k, b.k HAVING count(*) / CAST(any_value(a.n) + any_value(b.n) - count(*) AS DOUBLE) >= 0.5)"""
 
 
+#: Links between similar sets, and between texts with one set.
+SQL_LINKS = f"""{SQL_SHINGLES}, links AS (SELECT a, b FROM pairs WHERE jaccard >= 0.8 UNION ALL SELECT s.k, f.k FROM full_sets f JOIN sets s ON f.hs = s.hs WHERE f.k <> s.k),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(node, m) AS (SELECT a, a FROM e UNION SELECT e.b, reach.m FROM reach JOIN e ON reach.node = e.a), c AS (SELECT node, min(m) AS component FROM reach GROUP BY node)"""
+
+
+def words_of(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "").alias("w")))))
+
+
 def pairs_of(spark, sf_dir, threshold):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "").alias("w")))))
-    return U.shingle_pairs(docs, "doc_id", F.col("w"), threshold=threshold)
+    return U.shingle_pairs(words_of(spark, sf_dir), "doc_id", F.col("w"), threshold=threshold)
+
+
+def links_of(spark, sf_dir, threshold=0.8):
+    return U.similar_links(words_of(spark, sf_dir), "doc_id", F.col("w"), threshold=threshold)
 
 
 @query("shingle_pairs", f"WITH {SQL_SHINGLES} SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs WHERE jaccard >= 0.8")
@@ -71,10 +84,17 @@ def shingle_pairs(spark, sf_dir):
     return pairs_of(spark, sf_dir, 0.8).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query("fuzzy_components", f"WITH RECURSIVE {SQL_SHINGLES}, e AS (SELECT a, b FROM pairs WHERE jaccard >= 0.8 UNION SELECT b, a FROM pairs WHERE jaccard >= 0.8), reach(node, m) AS (SELECT a, a FROM e UNION SELECT e.b, reach.m FROM reach JOIN e ON reach.node = e.a) SELECT node, min(m) AS component FROM reach GROUP BY node")
+@query("shingle_members", f"WITH {SQL_SHINGLES} SELECT f.k AS doc_id, s.k AS representative FROM full_sets f JOIN sets s ON f.hs = s.hs")
+def shingle_members(spark, sf_dir):
+    """DU3: which text stands for each in the pairs."""
+    sets = U.shingle_sets(words_of(spark, sf_dir), "doc_id", F.col("w"))
+    return U.set_members(sets, U.representatives(sets)).select(F.col("k").alias("doc_id"), "representative")
+
+
+@query("fuzzy_components", f"WITH RECURSIVE {SQL_LINKS} SELECT node, component FROM c")
 def fuzzy_components(spark, sf_dir):
-    """DU5, DU6: components of the pairs, named by their smallest member."""
-    return U.components(pairs_of(spark, sf_dir, 0.8))
+    """DU5, DU6: components of the pairs and of texts with one set, named by their smallest member."""
+    return U.components(links_of(spark, sf_dir))
 
 
 @query("similarity_bands", f"WITH {SQL_SHINGLES} SELECT CASE WHEN jaccard <= 0.5 THEN '<=0.50' WHEN jaccard <= 0.7 THEN '0.50-0.70' WHEN jaccard <= 0.8 THEN '0.70-0.80' WHEN jaccard <= 0.9 THEN '0.80-0.90' ELSE '>0.90' END AS band, count(*) AS n FROM pairs GROUP BY ALL")
@@ -86,11 +106,25 @@ def similarity_bands(spark, sf_dir):
     return pairs.groupBy("band").agg(F.count("*").alias("n"))
 
 
-@query("fuzzy_cap", f"WITH RECURSIVE {SQL_SHINGLES}, e AS (SELECT a, b FROM pairs WHERE jaccard >= 0.8 UNION SELECT b, a FROM pairs WHERE jaccard >= 0.8), reach(node, m) AS (SELECT a, a FROM e UNION SELECT e.b, reach.m FROM reach JOIN e ON reach.node = e.a), c AS (SELECT node, min(m) AS component FROM reach GROUP BY node), k AS (SELECT d.doc_id, row_number() OVER (PARTITION BY coalesce(CAST(component AS VARCHAR), 'single:' || CAST(doc_id AS VARCHAR)) ORDER BY sha256('7|cap|' || CAST(doc_id AS VARCHAR))) AS r FROM documents d LEFT JOIN c ON d.doc_id = c.node) SELECT doc_id FROM k WHERE r = 1")
+@query("fuzzy_cap", f"WITH RECURSIVE {SQL_LINKS}, k AS (SELECT d.doc_id, row_number() OVER (PARTITION BY coalesce(CAST(component AS VARCHAR), 'single:' || CAST(doc_id AS VARCHAR)) ORDER BY sha256('7|cap|' || CAST(doc_id AS VARCHAR))) AS r FROM documents d LEFT JOIN c ON d.doc_id = c.node) SELECT doc_id FROM k WHERE r = 1")
 def fuzzy_cap(spark, sf_dir):
     """DU7, DU7a: one row of each component, first in hash order."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    return U.fuzzy_cap(docs, "doc_id", pairs_of(spark, sf_dir, 0.8), 1, [X.key_joined(7, "cap", F.col("doc_id"))]).select("doc_id")
+    return U.fuzzy_cap(docs, "doc_id", links_of(spark, sf_dir), 1, [X.key_joined(7, "cap", F.col("doc_id"))]).select("doc_id")
+
+
+@query("staged_caps", f"WITH RECURSIVE {SQL_VIEWS}, {SQL_LINKS}, x AS (SELECT *, row_number() OVER (PARTITION BY canonical_sha256 ORDER BY doc_id) AS i FROM families), y AS (SELECT *, row_number() OVER (PARTITION BY family_signature ORDER BY doc_id) AS j FROM x WHERE i = 1), z AS (SELECT y.*, row_number() OVER (PARTITION BY coalesce(CAST(component AS VARCHAR), 'single:' || CAST(doc_id AS VARCHAR)) ORDER BY doc_id) AS k FROM y LEFT JOIN c ON y.doc_id = c.node WHERE j = 1) SELECT 'start' AS stage, lang, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'exact', lang, count(*) FROM y GROUP BY ALL UNION ALL SELECT 'family', lang, count(*) FROM z GROUP BY ALL UNION ALL SELECT 'fuzzy', lang, count(*) FROM z WHERE k = 1 GROUP BY ALL")
+def staged_caps(spark, sf_dir):
+    """SA8: caps by canonical text, by family signature and by fuzzy component one after the other, with the rows that each stage leaves per frame."""
+    docs = features(spark, sf_dir, U.signatures).select("doc_id", "lang", "canonical_sha256", "family_signature")
+    exact = A.cap_groups(docs, "canonical_sha256", 1, ["doc_id"])
+    family = A.cap_groups(exact, "family_signature", 1, ["doc_id"])
+    fuzzy = U.fuzzy_cap(family, "doc_id", links_of(spark, sf_dir), 1, ["doc_id"])
+    out = None
+    for stage, rows in (("start", docs), ("exact", exact), ("family", family), ("fuzzy", fuzzy)):
+        n = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "lang", "n")
+        out = n if out is None else out.union(n)
+    return out
 
 
 EDGES = "('c1', 1, 2, 0.95), ('c1', 2, 3, 0.9), ('c1', 1, 3, 0.85), ('c1', 3, 4, 0.7), ('c1', 4, 5, 0.8), ('c1', 5, 6, 0.8), ('c1', 4, 6, 0.75), ('c2', 7, 8, 0.9)"

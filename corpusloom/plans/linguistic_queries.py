@@ -26,10 +26,10 @@ def linguistic_frame(spark, sf_dir):
     return narratives(spark).select("id", *[c.alias(n) for n, c in N.frame(F.col("text")).items()])
 
 
-@query("linguistic_corpus", "SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[À-ÖØ-öø-ÿ]')) AS accents, count(*) FILTER (regexp_matches(text, '(?i)\\b(?:but|however|although|before|after|earlier|later)\\b')) AS linked FROM documents WHERE lang = 'en' GROUP BY lang")
+@query("linguistic_corpus", "SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[À-ÖØ-öø-ÿ]')) AS accents, count(*) FILTER (regexp_matches(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:but|however|although|before|after|earlier|later)(?:[^\\p{L}\\p{N}_]|$)')) AS linked FROM documents GROUP BY lang")
 def linguistic_corpus(spark, sf_dir):
-    """FE12's flags counted over all English documents."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    """FE12's flags counted over all documents by language."""
+    docs = table(spark, sf_dir, "documents")
     n = lambda p, name: F.count(F.when(F.col("text").rlike(p), 1)).alias(name)
     return docs.groupBy("lang").agg(F.count("*").alias("n"), n(N.LATIN_ACCENTS, "accents"), n(N.CLAUSE_LINK, "linked"))
 

@@ -61,19 +61,6 @@ def capped_rows(spark, sf_dir):
     return A.cap_groups(docs, "h", 1, [key_json(SEED, "cap", F.col("doc_id"))]).select("doc_id")
 
 
-@query("staged_caps", "WITH e AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) AS j FROM e WHERE k = 1) SELECT 'start' AS stage, lang, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'exact', lang, count(*) FROM f GROUP BY ALL UNION ALL SELECT 'family', lang, count(*) FROM f WHERE j = 1 GROUP BY ALL")
-def staged_caps(spark, sf_dir):
-    """SA8: caps one after the other, with the rows that each stage leaves per frame."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.substring("text", 1, 40).alias("head"))
-    exact = A.cap_groups(docs, "h", 1, ["doc_id"])
-    family = A.cap_groups(exact, "head", 1, ["doc_id"])
-    out = None
-    for stage, rows in (("start", docs), ("exact", exact), ("family", family)):
-        n = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "lang", "n")
-        out = n if out is None else out.union(n)
-    return out
-
-
 @query("round_robin", f"WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {sql_key(SEED, 'rr', 'doc_id')}) AS r, {sql_key(SEED, 'rr', 'doc_id')} AS h FROM documents) SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY r, lang, h) AS INTEGER) AS position FROM k ORDER BY r, lang, h LIMIT 60")
 def round_robin(spark, sf_dir):
     """SA9, WN4: strata in turn."""

@@ -114,23 +114,29 @@ def mode_values(spark, sf_dir):
     return S.mode_value(table(spark, sf_dir, "documents"), ["lang"], "source")
 
 
-# Term statistics run over the English documents; words of two plain letters or more.
-SQL_TERMS = f"""w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{{2,}}'), lambda x: x NOT IN ({', '.join(f"'{s}'" for s in T.STOP_WORDS)}))) AS term FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+# Term statistics run over all documents; a term is two letters or more, with or without accents.
+LETTERS = "[a-zà-öø-ÿ]{2,}"
+SQL_TERMS = f"""t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{LETTERS}'), lambda x: x NOT IN ({', '.join(f"'{s}'" for s in T.STOP_WORDS)})) AS t FROM documents),
+w AS (SELECT doc_id, unnest(t) AS term FROM t),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL)"""
+SQL_PAIRED = SQL_TERMS.replace("w AS (SELECT doc_id, unnest(t) AS term FROM t)", "w AS (SELECT doc_id, unnest(t) AS term FROM t UNION ALL SELECT doc_id, t[i] || ' ' || t[i + 1] FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM t))")
 
 
-def terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    rows = docs.select("doc_id", F.explode(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)), lambda t: ~t.isin(*T.STOP_WORDS))).alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def tokens(spark, sf_dir, stop=T.STOP_WORDS):
+    """(doc_id, t): the words of each document, computed once a row."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct((F.filter(found, lambda t: ~t.isin(*stop)) if stop else found).alias("t")))))
 
 
-@query("mean_tfidf", f"WITH {SQL_TERMS}, n AS (SELECT count(DISTINCT doc_id) AS n FROM tf), d AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.85 * (SELECT n FROM n)), x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT n FROM n)) / (1 + df)) + 1) AS w FROM tf JOIN d USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id), m AS (SELECT term, sum(w / norm) / (SELECT n FROM n) AS s, count(*) AS df FROM x JOIN l USING (doc_id) GROUP BY term) SELECT term, round(s, 9) AS mean_tfidf, df FROM m ORDER BY s DESC, term LIMIT 100")
+def terms(spark, sf_dir, sizes=(1,), stop=T.STOP_WORDS):
+    return T.counted_grams(tokens(spark, sf_dir, stop), "doc_id", F.col("t"), sizes)
+
+
+@query("mean_tfidf", f"WITH {SQL_PAIRED}, n AS (SELECT count(DISTINCT doc_id) AS n FROM tf), d AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.85 * (SELECT n FROM n) ORDER BY cf DESC, term LIMIT 10000), x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT n FROM n)) / (1 + df)) + 1) AS w FROM tf JOIN d USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id), m AS (SELECT term, sum(w / norm) / (SELECT n FROM n) AS s, count(*) AS df FROM x JOIN l USING (doc_id) GROUP BY term) SELECT term, round(s, 9) AS mean_tfidf, df FROM m ORDER BY s DESC, term LIMIT 100")
 def mean_tfidf(spark, sf_dir):
-    """ST1, ST7, SO2: the terms of the largest mean weight."""
-    tf = terms(spark, sf_dir)
-    n = tf.select("doc_id").distinct().count()
-    return T.mean_tfidf(T.tfidf(tf, n, "doc_id", min_df=5, max_df=0.85), n).select("term", F.round("mean_tfidf", 9).alias("mean_tfidf"), "df")
+    """ST1, ST7, SO2: words and pairs of words, the 10,000 most frequent of those neither rare nor everywhere; the terms of the largest mean weight."""
+    n = tokens(spark, sf_dir).filter(F.size("t") > 0).select("doc_id").distinct().count()
+    return T.mean_tfidf(T.tfidf(terms(spark, sf_dir, (1, 2)), n, "doc_id", min_df=5, max_df=0.85, max_terms=10_000), n).select("term", F.round("mean_tfidf", 9).alias("mean_tfidf"), "df")
 
 
 @query("keyness", f"WITH {SQL_TERMS}, c AS (SELECT term, sum(tf)::DOUBLE AS c, coalesce(sum(tf) FILTER (doc_id % 2 = 0), 0)::DOUBLE AS a, coalesce(sum(tf) FILTER (doc_id % 2 = 1), 0)::DOUBLE AS b FROM tf GROUP BY term), s AS (SELECT *, sum(c) OVER () AS cc, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c), k AS (SELECT *, c * 1000 / cc AS al FROM s) SELECT term, CAST(a AS BIGINT) AS count_a, CAST(b AS BIGINT) AS count_b, round((ln(a + al) - ln(na + 1000 - a - al) - ln(b + al) + ln(nb + 1000 - b - al)) / sqrt(1 / (a + al) + 1 / (b + al)), 6) AS z FROM k WHERE c >= 20")
@@ -140,14 +146,10 @@ def keyness(spark, sf_dir):
     return T.keyness(tf, "side", "a", "b").filter(F.col("count_a") + F.col("count_b") >= 20).select("term", "count_a", "count_b", F.round("z", 6).alias("z"))
 
 
-@query("ngram_counts", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{2,}') AS t FROM documents WHERE lang = 'en'), g AS (SELECT doc_id, t[i] || ' ' || t[i+1] AS term FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM w)) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 10")
+@query("ngram_counts", f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{LETTERS}') AS t FROM documents), g AS (SELECT doc_id, t[i] || ' ' || t[i+1] AS term FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM w) UNION ALL SELECT doc_id, t[i] || ' ' || t[i+1] || ' ' || t[i+2] FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM w)) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 10")
 def ngram_counts(spark, sf_dir):
-    """ST4: bigrams with their document frequency."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.inline(F.array(F.struct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)).alias("t")))))
-    from corpusloom.functions.text import ngrams
-
-    tf = docs.select("doc_id", F.explode(ngrams(F.col("t"), 2)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return T.ngram_frequencies(tf, 10)
+    """ST4: two and three words in a row with their document frequency."""
+    return T.ngram_frequencies(terms(spark, sf_dir, (2, 3), ()), 10)
 
 
 @query("term_rates", f"WITH {SQL_TERMS} SELECT term, CAST(sum(tf) AS BIGINT) AS n, round(sum(tf) * 10000.0 / (SELECT sum(tf) FROM tf), 6) AS per_10k FROM tf GROUP BY term HAVING sum(tf) >= 20")

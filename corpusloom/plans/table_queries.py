@@ -88,6 +88,13 @@ def numbered_rows(spark, sf_dir):
     return J.sequential_ids(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "REG", [F.desc("n_chars"), "doc_id"], 5).select("record_id", "doc_id")
 
 
+@query("numbered_orders", "SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row_number, CAST(round(sum(o_custkey) OVER (ORDER BY o_totalprice, o_orderkey ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS customers FROM orders")
+def numbered_orders(spark, sf_dir):
+    """WN7, WN10, SO1 with all further columns: row numbers and a running sum in a full order."""
+    order = ["o_totalprice", "o_orderkey"]
+    return J.running_sum(J.number_rows(table(spark, sf_dir, "orders"), order), order, "o_custkey", "customers")
+
+
 @query("null_safe_anti", "SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN lang END AS a, source AS b FROM documents) d WHERE NOT EXISTS (SELECT 1 FROM (SELECT CASE WHEN doc_id % 4 > 0 THEN lang END AS a, source AS b FROM documents WHERE doc_id % 20 = 0) x WHERE d.a IS NOT DISTINCT FROM x.a AND d.b IS NOT DISTINCT FROM x.b)")
 def null_safe_anti(spark, sf_dir):
     """JN6."""

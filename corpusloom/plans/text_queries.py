@@ -105,12 +105,18 @@ def detector_flags(spark, sf_dir):
     return samples(spark).select("id", *[c.cast("bigint").alias(n) if n.endswith("_count") else c.alias(n) for n, c in found.items() if not n.endswith("words")])
 
 
-@query("detector_coverage", "SELECT lang, " + ", ".join(f"count(*) FILTER ({_sql_flag(p)}) AS {n}" for n, p in (("no_or_on", r"\b(?:no|on)\b"), ("temporal", V.DETECTORS["temporal"]))) + ", count(*) AS n FROM documents WHERE lang = 'en' GROUP BY lang")
+def _sql_word(pattern):
+    """A flag of a pattern between word borders that know all letters, which the SQL engine's own don't."""
+    inner = pattern.replace("'", "''").removeprefix("(?i)").removeprefix("\\b").removesuffix("\\b")
+    return f"regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_]){inner}(?:[^\\p{{L}}\\p{{N}}_]|$)')"
+
+
+@query("detector_coverage", "SELECT lang, " + ", ".join(f"count(*) FILTER ({_sql_word(p)}) AS {n}" for n, p in (("no_or_on", r"(?i)\b(?:no|on)\b"), ("temporal", V.DETECTORS["temporal"]))) + ", count(*) AS n FROM documents GROUP BY lang")
 def detector_coverage(spark, sf_dir):
-    """FE10, AG13 over all English documents, with one pattern of our own besides."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    """FE10, AG13 over all documents by language, with one pattern of our own besides."""
+    docs = table(spark, sf_dir, "documents")
     n = lambda p, name: F.count(F.when(F.col("text").rlike(p), 1)).alias(name)
-    return docs.groupBy("lang").agg(n(r"\b(?:no|on)\b", "no_or_on"), n(V.DETECTORS["temporal"], "temporal"), F.count("*").alias("n"))
+    return docs.groupBy("lang").agg(n(r"(?i)\b(?:no|on)\b", "no_or_on"), n(V.DETECTORS["temporal"], "temporal"), F.count("*").alias("n"))
 
 
 @query("extended_detectors")
@@ -192,11 +198,11 @@ def numeric_omission(spark, sf_dir):
     return docs.filter(F.size("a") > 0).select("doc_id", F.size("a").cast("bigint").alias("n_numbers"), F.size(F.array_except("a", "b")).cast("bigint").alias("n_omitted"))
 
 
-@query("grounding", "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS BIGINT) >= 12 AS enough FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("grounding", f"SELECT conv_id, turn, len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z0-9]+'))) >= {D.MIN_GROUNDING_TOKENS} AS enough FROM conversations")
 def grounding(spark, sf_dir):
-    """FE18 on ASCII turns, where both dialects' words agree."""
-    turns = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return turns.select("conv_id", "turn", (F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))) >= D.MIN_GROUNDING_TOKENS).alias("enough"))
+    """FE18: whether a turn has enough plain words."""
+    words = F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[A-Za-z0-9]+$"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(words) >= D.MIN_GROUNDING_TOKENS).alias("enough"))
 
 
 @query("span_redaction", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Contact [PII_CANDIDATE] at [PII_CANDIDATE] about the disputed transfer.', CAST(2 AS BIGINT)), (CAST(2 AS BIGINT), 'no finding', CAST(0 AS BIGINT)), (CAST(3 AS BIGINT), '[PII_CANDIDATE]def', CAST(1 AS BIGINT))) AS t(id, redacted, n)")
@@ -210,11 +216,17 @@ def span_redaction(spark, sf_dir):
     return merged.select("id", X.replace_spans(F.col("text"), F.col("m")).alias("redacted"), F.size("m").cast("bigint").alias("n"))
 
 
-@query("keyword_contexts")
+KEYWORD = "(?i)licen[cs]e[ds]?"
+
+
+@query("keyword_contexts", f"""WITH p AS (SELECT doc_id, text, string_split_regex(text, '{KEYWORD}') AS g, regexp_extract_all(text, '{KEYWORD}') AS h FROM documents WHERE regexp_matches(text, '{KEYWORD}')),
+k AS (SELECT doc_id, text, g, h, unnest(range(1, len(h) + 1)) AS i FROM p),
+s AS (SELECT doc_id, text, h[i] AS keyword, CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN h[1:i - 1]]), 0) AS INTEGER) AS start FROM k)
+SELECT doc_id, start, CAST(start + length(keyword) AS INTEGER) AS "end", substr(text, greatest(1, start - 39), least(40, start)) AS "left", keyword, substr(text, start + length(keyword) + 1, 40) AS "right" FROM s""")
 def keyword_contexts(spark, sf_dir):
-    """TX24, CF6: contexts around a keyword in English documents; offsets come from Python's matches."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.explode(X.keyword_contexts(r"(?i)\blicen[cs]e\b", 40)("text")).alias("k"))
-    return docs.select("doc_id", "k.*")
+    """TX24, CF6: contexts around a keyword in all documents."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(KEYWORD)).select("doc_id", F.inline(F.array(F.struct(F.col("text").alias("text")))))
+    return docs.select("doc_id", F.explode(X.contexts(F.col("text"), KEYWORD, 40)).alias("k")).select("doc_id", "k.*")
 
 
 @query("language_status", "SELECT lang, status, count(*) AS n FROM (SELECT lang, CASE WHEN lang = 'en' AND c >= 0.8 THEN 'english' WHEN lang = 'en' AND c >= 0.5 THEN 'english_low_confidence' WHEN c >= 0.8 THEN 'other_language' ELSE 'uncertain' END AS status FROM (SELECT lang, (doc_id % 100) / 100.0 AS c FROM documents)) GROUP BY ALL")

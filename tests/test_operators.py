@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +172,50 @@ def test_row_numbers(spark):
     assert all(r.row_number == r.v + 1 for r in got) and len(got) == 1000
 
 
+@pytest.mark.parametrize("parts", [8, 64])
+def test_row_numbers_and_sums_with_further_columns(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+        order = ["o_totalprice", "o_orderkey"]
+        got = J.running_sum(J.number_rows(orders, order).withColumn("one", F.lit(1)), order, "one")
+        assert set(got.columns) == {*orders.columns, "row_number", "one", "running"}
+        total = orders.count()
+        row = got.agg(F.count("*"), F.countDistinct("row_number"), F.min("row_number"), F.max("row_number"), F.max(F.abs(F.col("running") - F.col("row_number")))).first()
+        assert tuple(row) == (total, total, 1, total, 0)
+        dates = J.sequential_ids(orders, "X", [F.desc("o_orderdate"), "o_orderkey"], 9).agg(F.countDistinct("record_id"), F.max("record_id")).first()
+        assert tuple(dates) == (total, f"X-{total:09d}")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tables_in_a_folder_that_is_shared(spark):
+    from corpusloom.operators import storage
+
+    first = storage.saved_so_far()
+    assert storage.saved(spark.range(5)).count() == 5 and storage.saved_so_far() == first + 1
+    path = storage._WRITTEN[first].removeprefix("file:")
+    assert Path(path).exists()
+    storage.drop_saved(spark, first)
+    assert not Path(path).exists()
+
+
+def test_components_name_the_smallest(spark):
+    links = [(5, 3), (3, 9), (2, 7), (8, 8)]
+    found = U.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert {(r.node, r.component) for r in found} == {(3, 3), (5, 3), (9, 3), (2, 2), (7, 2)}
+
+
+def test_copies_are_linked_to_their_representative(spark):
+    base = [f"w{k}" for k in range(40)]
+    rows = [(1, base), (2, base), (3, base), (4, [*base[:-1], "x"]), (5, [f"v{k}" for k in range(40)])]
+    docs = spark.createDataFrame(rows, "id bigint, w array<string>")
+    links = U.similar_links(docs, "id", F.col("w"))
+    assert {(r.node, r.component) for r in U.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert {r.id for r in U.fuzzy_cap(docs.select("id"), "id", links, 1, ["id"]).collect()} == {1, 5}
+
+
 def test_wilson_and_kappa(spark):
     row = spark.range(1).select(*[c.alias(n) for n, c in zip("ab", S.wilson(F.lit(5), F.lit(10)), strict=True)], S.wilson(F.lit(0), F.lit(0))[0].alias("z")).first()
     assert row.a == pytest.approx(0.23659, abs=1e-4) and row.b == pytest.approx(0.76341, abs=1e-4) and row.z is None

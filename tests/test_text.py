@@ -142,3 +142,13 @@ def test_token_set_ratio(spark):
 def test_patterns_by_name(spark):
     got = one(spark, a=V.first_name(F.lit("b then a"), {"x": "a", "y": "b"}, "none"), b=V.first_name(F.lit("c"), {"x": "a"}, "none"), s=X.numbers(F.lit("3, 1,000 and 3")), q=V.quality_score(F.lit(3), F.lit(4), F.lit(0.0), F.lit(1.0)))
     assert (got.a, got.b, got.s, got.q) == ("x", "none", ["1,000", "3"], 1.0)
+
+
+def test_positions_and_contexts_of_many_matches(spark):
+    import re
+
+    texts = ["", "nothing", "ab1 cd22 é333 x", " ".join(f"w{k}" for k in range(3000)), "1", "1 2" * 70]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.inline(F.array(F.struct(F.col("t").alias("t")))))
+    for r in df.select("t", X.contexts(F.col("t"), "[0-9]+", 5).alias("c")).collect():
+        want = [(m.start(), m.end(), r.t[max(0, m.start() - 5) : m.start()], m[0], r.t[m.end() : m.end() + 5]) for m in re.finditer("[0-9]+", r.t)]
+        assert [tuple(c) for c in r.c] == want
