@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.storage import drop_saved as drop_staged
+from corpusloom.operators.storage import saved as stage_table
+from corpusloom.operators.storage import saved_so_far as staged_so_far
+
+__all__ = ["WS", "drop_staged", "once", "read", "slices", "stage_table", "staged_so_far"]
+
 #: ASCII white space, the word separators of the text contracts: space, tab, LF, VT, FF, CR.
 WS = " \t\n\x0b\f\r"
 
@@ -18,31 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset a local one."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        context = sc._jsc.sc()
-        if context.getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-        found = context.getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives the loss of executors and gives later joins real sizes."""
-    path = f"{shared_dir(df.sparkSession)}/corpusloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete all that stage_table has written; results that still read it are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in parts of fewer rows, so that a worker holds few texts as Python strings at a time."""
     for batch in batches:

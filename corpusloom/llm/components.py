@@ -1,35 +1,7 @@
-"""Connected components by rounds of contraction.
-
-Each round gives every node the smallest node next to it, moves the links to those and drops what has become
-a loop; nodes are compared in the order of a hash, so the number of nodes falls by a constant factor a round whatever
-the shape. Links are kept once, results of a round are written to the shared folder, and joins are plain equi-joins
-of two such tables, whose large partitions the engine can split: a hub's links need not fit in one task.
-"""
+"""Connected components by rounds of contraction, as the library has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from corpusloom.llm.common import stage_table
-
+from corpusloom.operators.components import contracted as components
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for each node that has a link to another; root is the same for all nodes of a component and one of them."""
-    key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    edges = stage_table(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "links")
-    parents: DataFrame | None = None
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(key("b")).alias("m"))
-        step = stage_table(least.select(F.col("a").alias("node"), F.least(F.col("m"), key("a"))["v"].alias("root")), "parents")
-        moved = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").select("ra", "b")
-        moved = stage_table(moved, "moved").join(step.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        moved = moved.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if parents is None:
-            parents = step
-        else:
-            up = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            parents = stage_table(parents.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "parents")
-        edges = stage_table(moved, "links")
-    return parents if parents is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+__all__ = ["components"]

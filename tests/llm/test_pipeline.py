@@ -81,3 +81,26 @@ def test_queries_run(spark, name):
     rows = registry.QUERIES[name](spark, sf).count()
     n = spark.read.parquet(f"{sf}/{table}.parquet").count()
     assert rows >= n if name.startswith("op9") else rows == (n // 50 * 5 if name.startswith("op8") else n)
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    names = ["kept", "score", "rejected", "lang_pred", "secrets", "live", "clean", "__key", "row", "row_key", "c_0", "c_1", "component", "id"]
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = base.select(*base.columns, *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    found = stages(spark, docs)
+    for name in ("language", "quality", "near_duplicates", "secrets"):
+        rows = found[name].collect()
+        assert found[name].columns == docs.columns and rows
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+    odd = stages(spark, brute.documents(spark))
+    assert odd["secrets"].columns == brute.documents(spark).columns and odd["packing"].count() > 0
+
+
+def test_run_deletes_what_it_has_consumed(spark):
+    from corpusloom.llm.common import staged_so_far
+    from corpusloom.operators import storage
+
+    first = staged_so_far()
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = [p for p in storage._WRITTEN[first:] if p]
+    assert rows.count() > 0 and len(left) <= 3 and any("pipeline-secrets" in p for p in left)
