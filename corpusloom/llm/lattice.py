@@ -231,6 +231,83 @@ class Vocabulary:
         return np.stack(steps[::-1], axis=1) if steps else np.empty((n, 0), np.int64)
 
 
+class Walk:
+    """The same table of last pieces for one string that grows, a byte at a time, and can be cut back: for long words, and for branches from one of their prefixes.
+
+    vocabulary: over bytes, numbered from 1; closing as for last_pieces.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, closing: int):
+        self.vocabulary, self.closing = vocabulary, closing
+        self.open, self.closed_pieces = ({}, {})
+        for k in vocabulary.numbers.tolist():
+            piece = vocabulary.pieces[k]
+            if closing and piece[-1] > closing:
+                self.closed_pieces[bytes([*(x - 1 for x in piece[:-1]), piece[-1] - closing - 1])] = k
+            else:
+                self.open[bytes(x - 1 for x in piece)] = k
+        # an ending of no piece ends the search for longer ones
+        self.endings = {p[k:] for p in self.open for k in range(len(p))}
+        self.closed_endings = {p[k:] for p in self.closed_pieces for k in range(len(p))}
+        self.known: dict[tuple[int, int], bool] = {}
+        self.start()
+
+    def start(self) -> None:
+        self.data, self.last, self.count = bytearray(), [-1], [0]
+
+    def fits(self, a: int, b: int) -> bool:
+        if (found := self.known.get((a, b))) is None:
+            v = self.vocabulary
+            right, ends, left, stops = (x.tolist() for x in (v.right[a], v.right_end[a], v.left[b], v.left_end[b]))
+            i = j = 0
+            while True:
+                e, f = ends[i], stops[j]
+                r = v.merges[right[i], left[j]][0] if (right[i], left[j]) in v.merges else NEVER
+                if r < e and r <= f and r < NEVER:
+                    found = False
+                    break
+                if min(e, f) >= NEVER:
+                    found = True
+                    break
+                if e <= f:
+                    i += 1
+                else:
+                    j += 1
+            if len(self.known) >= PAIRS:
+                self.known.clear()
+            self.known[a, b] = found
+        return found
+
+    def _ending(self, pieces: dict[bytes, int], endings: set[bytes]) -> tuple[int, int]:
+        """The piece that ends the string and fits what stands before it, and the number of pieces then."""
+        data, end = self.data, len(self.data)
+        best = (self.vocabulary.size - 1, self.count[end - 1] + 1)
+        for size in range(1, min(self.vocabulary.longest, end) + 1):
+            tail = bytes(data[end - size :])
+            if tail not in endings:
+                break
+            piece = pieces.get(tail)
+            if piece is not None and (size == end or self.fits(self.last[end - size], piece)):
+                best = (piece, self.count[end - size] + 1)
+                break
+        return best
+
+    def add(self, byte: int) -> None:
+        self.data.append(byte)
+        piece, n = self._ending(self.open, self.endings)
+        self.last.append(piece)
+        self.count.append(n)
+
+    def closed(self) -> int:
+        """The number of pieces of the string as a word of its own."""
+        if not self.closing or not self.data:
+            return self.count[-1]
+        return self._ending(self.closed_pieces, self.closed_endings)[1]
+
+    def cut(self, length: int) -> None:
+        del self.data[length:], self.last[length + 1 :], self.count[length + 1 :]
+
+
 def by_length(words: list[bytes], width: int = 1):
     """(indices, array of words) for groups of words of one length; width: bytes of a symbol."""
     groups: dict[int, list[int]] = {}

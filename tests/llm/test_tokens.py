@@ -1,4 +1,5 @@
 import random
+import time
 
 import brute
 import numpy as np
@@ -162,3 +163,35 @@ def test_lattice_memory_clash_is_harmless():
     vocabulary.memory[:] = -1
     for _ in range(2):
         assert (vocabulary.fit(a, b) == want).all()
+
+
+SCRIPTS = [*"aeinorstAEİIß'’“”—…\t \r漢字日本語ひらがはばﾊﾞ한국어각ᄒ゙゚̣́̈ПриветΣσςάไทยनमस्तेো<|>!?.,:;19٣²😀👍‍\xa0x", "<|endoftext|>", "<|startoftext|>", "'re", "'s", "'ll", "é", "q̣̇", "Å", "ﬁ"]
+
+
+def test_prefixes_of_any_script():
+    rng = random.Random(3)
+    c = tokencount.TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(400):
+        text = "".join(rng.choice(SCRIPTS) for _ in range(rng.randrange(1, 14)))
+        want = c.whole([text[:k] for k in range(len(text) + 1)])
+        assert c.prefix_counts(text).tolist() == want, text
+        budget = rng.randrange(want[-1] + 2)
+        n, fit = c.counts([text], budget)[0]
+        assert n == want[-1] and fit == max(k for k, x in enumerate(want) if x <= budget), text
+
+
+def test_long_texts_without_spaces_are_quick(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("日本語の漢字とひらがなカタカナが混ざる文章を書いた。東京都") for _ in range(20_000)), "é\t" * 20_000, "ｶﾞ" * 5_000, "é" * 10_000]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    c = tokencount.TokenCounter(path)
+    c.counts(["abc\u3042\u3099"], 1)  # tables are made once
+    for text in texts:
+        began = time.time()
+        n, fit = c.counts([text], 2048)[0]
+        assert time.time() - began < 4  # about half a second on a quiet machine; encoding every prefix takes minutes
+        near = c.whole([text[:k] for k in range(fit, min(len(text), fit + 30) + 1)])
+        assert n == c.whole([text])[0] and near[0] <= 2048 < min(near[1:], default=4096)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_tokens, r.fit_chars) for r in tokencount.count_tokens(rows, path, 2048).collect()}
+    assert found == {k: c.counts([t], 2048)[0] for k, t in enumerate(texts)}
