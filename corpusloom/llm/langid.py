@@ -2,12 +2,15 @@
 
 A text is lower-cased and its character n-grams of one to three letters are counted in a fixed number of hashed
 places; counts become TF-IDF vectors of length one. Each language has several centroids, found by spherical k-means over
-labelled rows, and a text gets the language of the centroid with the largest cosine. A text whose best cosine is
-under the rejection bound of that language, which the training rows set, is marked as rejected.
-
-Null texts and texts without a letter are "und" with score 0 and rejected. Rows are independent: repeated rows
-repeat, null ids pass through, an empty table gives an empty result; without a labelled row, all is "und". Labels are used
-in training alone, and other columns are ignored.
+labelled rows, and a text gets the language of the centroid with the largest cosine. A text is marked as rejected if its best
+cosine lies far under those of the language's training rows of like length: short texts lie farther from any centroid than
+long ones, and no single row sets a bound.
+
+Training rows are drawn by language, so that every labelled language is learned however rare it is. Null texts and texts
+without a letter are "und" with score 0 and rejected; very long texts are counted whole, in parts. Equal cosines go to the language
+that comes first. Rows are independent: repeated rows repeat, null ids pass through, an empty table gives an empty result;
+without a labelled row, all is "und". Labels are used in training alone. Carried columns come back as they are, but for those
+named like a column that is made, which are left out; others are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +32,14 @@ CENTROIDS = 3
 TRAIN_ROWS = 3000
 #: Characters that n-grams are counted in at a time; a text's parts overlap, so that nothing is lost.
 PART = 1 << 20
-#: A text is rejected if its cosine is under the lowest of its language's training rows times this.
-REJECT_SLACK = 0.5
+#: Lengths, in counted n-grams, that part texts into classes with rejection bounds of their own; each class is so many times longer than the one before.
+CLASS_STEP, CLASSES = 4, 8
+#: A text is rejected if its cosine is under this share of the quantile of its language's training rows of its class.
+REJECT_QUANTILE, REJECT_SHARE = 0.02, 0.55
+#: Rows that a quantile needs; a class with fewer takes the bound of the next shorter class that has them, or else LOOSE_SHARE of the language's lowest cosine.
+QUANTILE_ROWS, LOOSE_SHARE = 20, 0.5
 UNKNOWN = "und"
+MADE = ("lang_pred", "score", "rejected")
 
 
 def count_grams(text: str) -> np.ndarray | None:
@@ -75,9 +83,14 @@ def _letter_table() -> np.ndarray:
     return _TABLE[0]
 
 
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    """The class of texts with so many n-grams."""
+    return np.clip((np.log(np.maximum(sizes, 1)) / np.log(CLASS_STEP)).astype(np.int64), 0, CLASSES - 1)
+
+
 @dataclass
 class Model:
-    """idf by place; centroids as rows, with their language and rejection bound."""
+    """idf by place; centroids as rows, with their language; rejection bounds by centroid and length class."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -95,55 +108,86 @@ class Model:
             counted = [(i, c) for i, t in enumerate(texts[k : k + 256], k) if t and (c := count_grams(t)) is not None]
             if not counted or not self.languages:
                 continue
-            cosine = self.weigh(np.stack([c for _, c in counted])) @ self.centroids.T
+            counts = np.stack([c for _, c in counted])
+            classes = length_class(counts.sum(1))
+            cosine = self.weigh(counts) @ self.centroids.T
             best = cosine.argmax(1)
-            for (i, _), row, at in zip(counted, cosine, best, strict=True):
+            for (i, _), row, at, length in zip(counted, cosine, best, classes, strict=True):
                 score = float(min(1.0, max(0.0, row[at])))
-                out[i] = (self.languages[at], score, score < self.bounds[at])
+                out[i] = (self.languages[at], score, score < self.bounds[at, length])
         return out
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from the row nearest the mean and then the rows farthest from those chosen; as many centroids as there are different rows at most."""
-    mean = x.mean(0)
-    chosen = [int((x @ mean).argmax())]
-    near = x @ x[chosen[0]]
-    while len(chosen) < k and near.min() < 1 - 1e-6:
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    centroids = x[chosen]
+    """Spherical k-means from the means of k equal parts along the direction in which the rows differ most: no outlier has a part of its own. As many centroids as there are rows at most."""
+    k = min(k, len(x))
+    off = x - x.mean(0)
+    direction = off[int(np.einsum("ij,ij->i", off, off).argmax())]
+    for _ in range(20):
+        direction = off.T @ (off @ direction)
+        size = np.linalg.norm(direction)
+        if size < 1e-9:
+            break
+        direction = direction / size
+    parts = np.array_split(np.argsort(off @ direction, kind="stable"), k)
+    unit = lambda c: c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    centroids = unit(np.stack([x[p].sum(0) for p in parts]))
     for _ in range(rounds):
         of = (x @ centroids.T).argmax(1)
-        new = np.stack([x[of == j].sum(0) if (of == j).any() else centroids[j] for j in range(len(centroids))])
-        centroids = new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
+        centroids = unit(np.stack([x[of == j].sum(0) if (of == j).any() else centroids[j] for j in range(k)]))
     return centroids
 
 
+def rejection_bounds(cosines: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A bound for each length class from a language's rows: their best cosines and classes. No class is stricter than all rows together would be."""
+    share = lambda own: REJECT_SHARE * float(np.quantile(own, REJECT_QUANTILE))
+    out, bound = np.zeros(CLASSES), LOOSE_SHARE * float(cosines.min())
+    for c in range(CLASSES):
+        own = cosines[classes == c]
+        if len(own) >= QUANTILE_ROWS:
+            bound = min(share(own), share(cosines))
+        out[c] = bound
+    return out
+
+
 def fit(languages: list[str], x: np.ndarray, centroids: int = CENTROIDS) -> Model:
     """languages and counts by row; the counts are weighed in place."""
     if not languages:
-        return Model(np.ones(PLACES, np.float32), np.zeros((0, PLACES), np.float32), [], np.zeros(0))
+        return Model(np.ones(PLACES, np.float32), np.zeros((0, PLACES), np.float32), [], np.zeros((0, CLASSES)))
+    classes = length_class(x.sum(1))
     idf = (np.log((1 + len(languages)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
     np.log1p(x, out=x)
     x *= idf
     x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     parts, names, bounds = [], [], []
     labels = np.array(languages)
-    for language in sorted(set(labels)):
-        own = x[labels == language]
+    for language in sorted(set(languages)):
+        rows = labels == language
+        own = x[rows]
         found = cluster(own, centroids)
         parts.append(found)
         names += [str(language)] * len(found)
-        bounds += [REJECT_SLACK * float((own @ found.T).max(1).min())] * len(found)
-    return Model(idf, np.concatenate(parts).astype(np.float32), names, np.array(bounds))
+        bounds += [rejection_bounds((own @ found.T).max(1), classes[rows])] * len(found)
+    return Model(idf, np.concatenate(parts).astype(np.float32), names, np.stack(bounds))
+
+
+def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Rows of each language, about as many of each as the bound allows: all of small ones, and one at least."""
+    out, left = {}, most
+    for k, (language, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[language] = max(1, min(n, left // (len(sizes) - k)))
+        left = max(0, left - out[language])
+    return out
 
 
 def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = TRAIN_ROWS) -> Model:
-    """Fit on the labelled rows, or on about that many of them, chosen by a hash of the id."""
+    """Fit on the labelled rows, or on about that many of them, chosen by language and by a hash of the id. Counts of the languages and these rows are all that the driver holds."""
     rows = df.filter(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    n = rows.count()
-    if n > most:
-        rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(sizes.values()) > most:
+        wanted = quotas(sizes, most)
+        shares = F.create_map(*[F.lit(v) for lang in wanted for v in (lang, 1 << 30 if wanted[lang] == sizes[lang] else max(1, int((1 << 30) * wanted[lang] / sizes[lang])))])
+        rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < shares[F.col("lang")])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -165,7 +209,7 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int =
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns (all by default) and lang_pred, score, rejected."""
-    carry = df.columns if carry is None else carry
+    carry = [c for c in (df.columns if carry is None else carry) if c not in MADE]
     rows = df.select(*[F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(carry)], F.col(f"`{text_col}`").alias("text"))
     schema = "".join(f"c_{k} {rows.schema[f'c_{k}'].dataType.simpleString()}, " for k in range(len(carry)))
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: places by languages and centroids

@@ -132,3 +132,70 @@ def test_grams_in_parts(monkeypatch):
     whole = langid.count_grams(text)
     monkeypatch.setattr(langid, "PART", 16)
     assert (langid.count_grams(text) == whole).all()
+
+
+def odd_texts():
+    r = random.Random(1)
+    return [
+        "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3000)),
+        " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(300)),
+        "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000)),
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 20,
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 4,
+    ]
+
+
+def test_gibberish_and_unknown_languages_are_rejected_and_clean_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.train(docs.filter(~langid.held_out("doc_id")), "doc_id", "text", "lang")
+    assert all(rejected for _, _, rejected in model.predict(odd_texts()))
+    for language, text in (("en", "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience."), ("fr", "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience.")):
+        assert model.predict([text])[0][0::2] == (language, False)
+    found = langid.identify(docs, model, carry=["doc_id", "lang"]).filter(langid.held_out("doc_id"))
+    right, rejected, n = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg(F.col("rejected").cast("int")), F.count("*")).first()
+    assert right > 0.99 and rejected < 0.002 and n > 3000
+    sizes = np.bincount(np.unique(model.languages, return_inverse=True)[1])
+    assert (sizes == langid.CENTROIDS).all()
+
+
+def test_rare_languages_are_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    rare = [(-k, t, "xx") for k, t in enumerate(["zug zug gruk ma buk zug " * 30, "gruk buk zug ma ma zug " * 30, "zug buk buk gruk gruk ma " * 30], 1)]
+    model = langid.train(docs.union(spark.createDataFrame(rare, docs.schema)), "doc_id", "text", "lang", most=300)
+    assert set(model.languages) == {"de", "en", "es", "fr", "xx"}
+    assert model.predict(["gruk zug buk ma zug gruk " * 20])[0][0] == "xx"
+    assert langid.quotas({"a": 3, "b": 1000, "c": 900}, 303) == {"a": 3, "c": 150, "b": 150}
+    assert langid.quotas({"a": 5, "b": 5}, 1) == {"a": 1, "b": 1}
+
+
+def test_centroids_and_cosines_by_hand():
+    import math
+
+    texts = ["der hund und die katze", "die katze und der hund", "ein hund", "the dog and the cat", "a cat and a dog", "the dog"]
+    languages = ["de"] * 3 + ["en"] * 3
+    counts = [langid.count_grams(t).tolist() for t in texts]
+    model = langid.fit(languages, np.array(counts, np.float32), centroids=1)
+    df = [sum(c[j] > 0 for c in counts) for j in range(langid.PLACES)]
+
+    def vector(c):
+        v = [math.log1p(x) * (math.log((1 + len(texts)) / (1 + d)) + 1) for x, d in zip(c, df, strict=True)]
+        norm = math.sqrt(sum(x * x for x in v))
+        return [x / norm for x in v]
+
+    vectors = [vector(c) for c in counts]
+    means = {}
+    for name in ("de", "en"):
+        total = [sum(xs) for xs in zip(*[v for v, k in zip(vectors, languages, strict=True) if k == name], strict=True)]
+        norm = math.sqrt(sum(x * x for x in total))
+        means[name] = [x / norm for x in total]
+    for text in [*texts, "der dog", "xyz"]:
+        v = vector(langid.count_grams(text).tolist())
+        cosine = {k: sum(a * b for a, b in zip(v, m, strict=True)) for k, m in means.items()}
+        got, score, _ = model.predict([text])[0]
+        assert got == max(sorted(cosine), key=cosine.get) and score == pytest.approx(max(cosine.values()), abs=1e-4)
+
+
+def test_columns_named_like_made_ones_are_left_out(spark):
+    docs = brute.documents(spark).withColumn("score", F.lit("mine"))
+    model = langid.train(docs, "doc_id", "text", "lang")
+    assert langid.identify(docs, model).columns == [*brute.documents(spark).columns, "lang_pred", "score", "rejected"]
