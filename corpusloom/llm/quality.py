@@ -5,7 +5,8 @@ letters, or a fragment without closing punctuation. Lines that fail are removed;
 text is rejected, as is one that fails the rules on words and repeated windows.
 
 Null text counts as empty: no words, no lines, rejected. Every row is judged on its own, so repeated rows repeat, null
-ids pass through and an empty table gives an empty result; other columns are ignored unless asked for.
+ids pass through and an empty table gives an empty result. Texts are judged whole, however long; a line equal to an earlier one
+is judged like it. Other columns are ignored unless asked for; of those, one named like a column that is made is left out.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ BOILERPLATE = (
     "powered by wordpress",
 )
 
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept", "clean_text")
 _SPACES = r"[\x20\x09-\x0D]"
 
 
@@ -82,7 +84,7 @@ def line_fails(line: Column, suspect: Column) -> Column:
 
 def judge(df: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns (all by default) and: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, kept, clean_text."""
-    carry = df.columns if carry is None else carry
+    carry = [c for c in (df.columns if carry is None else carry) if c not in MADE]
     own = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(carry)]
     rows = df.select(*own, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     bare = trimmed(F.col("text"))
@@ -121,8 +123,7 @@ def judge(df: DataFrame, text_col: str = "text", carry: list[str] | None = None)
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost_chars") <= MAX_LOST_SHARE * F.col("line_chars")))
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept", "clean_text"]
-    return rows.select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)], *made)
+    return rows.select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)], *MADE)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ its place. What each candidate hides is hashed, and hashes are counted over the
 a value that many owners hold is a copied example, a varied value that few hold looks live and is theirs.
 
 Null text counts as empty. Each row has its own result: repeated rows repeat, null ids pass through, a null owner or
-repository is one of its own, an empty table gives an empty result. Columns are ignored unless carried.
+repository is one of its own, an empty table gives an empty result. Whole texts are searched, long ones and those of many hits in
+time near their length; hits at one place come in the order of the kinds. Columns are ignored unless carried; of those carried, one
+named "secrets" is left out.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import match_starts
 from corpusloom.llm.common import once, read, stage_table
 
 #: The contract's kinds, their patterns, and the group that holds the secret.
@@ -45,17 +48,14 @@ def kind_spans(text: Column, number: int, kind: str) -> Column:
     """The kind's spans; text is a column that is cheap to name again."""
     pattern, group = KINDS[kind]
     found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    state = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit(0).alias("k"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["pos"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        value = F.regexp_extract(pair["hit"], pattern, group) if group else pair["hit"]
-        span = F.struct(start.cast("bigint").alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), end.cast("bigint").alias("end"), value.alias("value"))
-        return F.struct(end.cast("bigint").alias("pos"), (acc["k"] + 1).alias("k"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(z: Column) -> Column:
+        value = F.regexp_extract(z["hit"], pattern, group) if group else z["hit"]
+        end = (z["start"] + F.length(z["hit"])).cast("bigint")
+        return F.struct(z["start"].cast("bigint").alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
 
-    pairs = F.transform(F.array(found), lambda f: F.transform(f["hits"], lambda hit, k: F.struct(F.get(f["gaps"], k).alias("gap"), hit.alias("hit"))))
-    spans = F.aggregate(F.get(pairs, 0), state, step, lambda acc: acc["out"])
+    placed = lambda f: F.arrays_zip(match_starts(f["gaps"], f["hits"]).alias("start"), f["hits"].alias("hit"))
+    spans = F.get(F.transform(F.array(found), lambda f: F.transform(placed(f), span)), 0)
     if kind == "assign":
         spans = F.filter(spans, lambda s: F.length(s["value"]) >= MIN_ASSIGNED)
     there = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else text.rlike(pattern)
@@ -67,14 +67,14 @@ def looks_live(value: Column) -> Column:
     return varied & ~F.lower(value).rlike("|".join(SAMPLE_WORDS))
 
 
-def scan(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "source", carry: list[str] | None = None) -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str | Column = "source", carry: list[str] | None = None) -> DataFrame:
     """The carried columns (all by default) and secrets, an array of structs by start, then kind:
 
     start, kind_no, kind, end, value, n_owners, n_repos, live (varied, unmarked and of at most MAX_OWNERS owners).
     """
-    carry = df.columns if carry is None else carry
+    carry = [c for c in (df.columns if carry is None else carry) if c != "secrets"]
     own = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(carry)]
-    named = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0"))
+    named = lambda c: F.coalesce((F.col(f"`{c}`") if isinstance(c, str) else c).cast("string"), F.lit("\0"))
     rows = df.select(*own, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), named(owner_col).alias("owner"), named(repo_col).alias("repo"))
     found = F.array_sort(F.concat(*[kind_spans(F.col("text"), n, kind) for n, kind in enumerate(KINDS)]))
     rows = once(rows, spans=found).drop("text").withColumn("row_no", F.monotonically_increasing_id())
@@ -109,7 +109,8 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(read(spark, sf_dir, "documents"), carry=["doc_id"])
+    """Documents by owner, their source; a source's documents of one language count as a repository."""
+    found = scan(read(spark, sf_dir, "documents"), repo_col=F.concat_ws("/", "source", "lang"), carry=["doc_id"])
     joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
     count = lambda name, test: F.size(F.filter("secrets", test)).cast("bigint").alias(name)
@@ -121,6 +122,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("secrets")).alias("spans"),
         count("n_live", lambda s: s["live"]),
         count("n_copied", lambda s: s["n_owners"] > MAX_OWNERS),
+        F.coalesce(F.array_max(F.transform("secrets", lambda s: s["n_repos"])), F.lit(0)).cast("bigint").alias("most_repos"),
     )
 
 
@@ -136,11 +138,11 @@ def _spans_sql(number: int, kind: str) -> str:
 
 _LIST_SQL = "coalesce(string_agg(kind || ':' || start || ':' || \"end\", ',' ORDER BY start, kind_no){}, '')"
 SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner, concat_ws('/', source, lang) AS repo FROM documents),
 s AS ({" UNION ALL ".join(_spans_sql(n, k) for n, k in enumerate(KINDS))}),
-o AS (SELECT value, count(DISTINCT owner) AS n_owners FROM s JOIN d USING (row_no) GROUP BY value),
-m AS (SELECT s.*, n_owners, n_owners <= {MAX_OWNERS} AND len(list_distinct(string_split(value, ''))) >= {MIN_VARIETY} AND NOT regexp_matches(lower(value), '{"|".join(SAMPLE_WORDS)}') AS live FROM s JOIN o USING (value))
+o AS (SELECT value, count(DISTINCT owner) AS n_owners, count(DISTINCT repo) AS n_repos FROM s JOIN d USING (row_no) GROUP BY value),
+m AS (SELECT s.*, n_owners, n_repos, n_owners <= {MAX_OWNERS} AND len(list_distinct(string_split(value, ''))) >= {MIN_VARIETY} AND NOT regexp_matches(lower(value), '{"|".join(SAMPLE_WORDS)}') AS live FROM s JOIN o USING (value))
 SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)},
-  sha256({_LIST_SQL.format(" FILTER (kind_no < " + str(len(BASE)) + ")")}) AS base_sha256, {_LIST_SQL.format("")} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (n_owners > {MAX_OWNERS}) AS n_copied
+  sha256({_LIST_SQL.format(" FILTER (kind_no < " + str(len(BASE)) + ")")}) AS base_sha256, {_LIST_SQL.format("")} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (n_owners > {MAX_OWNERS}) AS n_copied, coalesce(max(n_repos), 0) AS most_repos
 FROM d LEFT JOIN m USING (row_no) GROUP BY row_no, doc_id
 """

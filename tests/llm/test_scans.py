@@ -94,3 +94,15 @@ def test_licenses(spark):
     assert got[5] == ("MIT", "header", None) and got[3] == ("GPL-3.0", "file", None) and got[6][1] == got[7][1] == got[8][1] == "none"
     assert licenses.scan(brute.empty(spark), "doc_id", "text", F.col("source")).count() == 0
     assert licenses.scan(brute.documents(spark), "doc_id", "text", F.col("source")).count() == brute.documents(spark).count()
+
+
+def test_secrets_of_a_text_with_many_hits(spark):
+    import time
+
+    text = " ".join(f"token=abcdefgh{k:06d} é" for k in range(6000))
+    rows = spark.createDataFrame([(1, text, "a")], "doc_id int, text string, source string").withColumn("secrets", F.lit("mine"))
+    began = time.time()
+    found = secrets.scan(rows)
+    assert found.columns == ["doc_id", "text", "source", "secrets"]
+    assert [(s.kind, s.start, s.end) for s in found.first().secrets] == brute.secrets(text)
+    assert time.time() - began < 30
