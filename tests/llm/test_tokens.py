@@ -195,3 +195,42 @@ def test_long_texts_without_spaces_are_quick(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
     found = {r.doc_id: (r.n_tokens, r.fit_chars) for r in tokencount.count_tokens(rows, path, 2048).collect()}
     assert found == {k: c.counts([t], 2048)[0] for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("sizes", [[2100] * 60, [4095] * 20 + [2] * 5, [1] * 9000, [3000, 1500] * 30, [4096 * 3 + 5] * 7, [4097]])
+def test_windows_are_spread_and_the_rest_goes_on(sizes):
+    windows, spare = packing.full_windows([(k, 0, n) for k, n in enumerate(sizes)], 4096)
+    assert all(sum(n for _, _, n in w) == 4096 for w in windows)
+    assert sum(n for _, _, n in spare) == sum(sizes) % 4096
+    rest = [(k, n - n % 4096, n % 4096) for k, n in enumerate(sizes) if n % 4096]
+    if sum(n for _, _, n in rest) >= 4096:
+        parts = packing.spread(rest, 4096)
+        sums = [sum(n for _, _, n in p) for p in parts]
+        assert max(sums) <= 4096 and len(parts) <= -(-sum(sums) // 4096) * (1 + 1 / packing.MORE_WINDOWS) + 1
+
+
+def test_whole_groups_at_full_capacity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").coalesce(1)
+    rows = packing.pack_documents(docs, WORDS).collect()
+    sequences, wholes = {}, {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        wholes.setdefault(r.doc_id, []).append(r)
+    lengths = []
+    for pieces in sequences.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at and n > 0
+            at += n
+        lengths.append(at)
+    short = [n for n in lengths if n != 4096]
+    assert all(n & (n - 1) == 0 for n in short) and len(short) == len(set(short)) <= 12  # one rest, at the end of the task
+    own = tokens.Encoder(WORDS)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(wholes) == len(texts)
+    for doc, pieces in wholes.items():
+        at, ids = 0, np.append(own.ids(texts[doc]), 2)
+        for r in sorted(pieces, key=lambda x: x.start):
+            assert r.start == at and r.doc_tokens == len(ids) and brute.crc(ids[at : at + r.length]) == r.ids_crc32
+            at += r.length
+        assert at == len(ids)
