@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import quality, secrets, topk
+from corpusloom.llm import licenses, quality, secrets, topk
 from corpusloom.llm.langid import op7_language
-from corpusloom.llm.licenses import op2_licenses
 from corpusloom.llm.packing import op9_packing
 from corpusloom.llm.pii import op3_pii
 from corpusloom.llm.sentencepieces import op1_sentencepiece
@@ -13,7 +12,7 @@ from corpusloom.llm.tokencount import op10_token_counts
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
-    "op2_licenses": op2_licenses,
+    "op2_licenses": licenses.op2_licenses,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_secrets": secrets.op5_secrets,
@@ -25,6 +24,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_licenses": licenses.SQL,
     "op5_secrets": secrets.SQL,
     "op6_quality": quality.SQL,
     "op8_top_k": topk.SQL,
