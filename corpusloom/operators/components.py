@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.storage import saved
+from corpusloom.operators.storage import parts_for, saved
+
+#: A row of links or roots, about.
+ROW_BYTES = 64
 
 
 def contracted(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,17 +22,20 @@ def contracted(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     edges = saved(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "links")
     parents: DataFrame | None = None
-    while not edges.isEmpty():
+    most = 1
+    while n := edges.count():
+        parts = parts_for(edges.sparkSession, 2 * n, ROW_BYTES)
+        most = max(most, parts)
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(key("b")).alias("m"))
-        step = saved(least.select(F.col("a").alias("node"), F.least(F.col("m"), key("a"))["v"].alias("root")), "parents")
+        step = saved(least.select(F.col("a").alias("node"), F.least(F.col("m"), key("a"))["v"].alias("root")), "parents", parts)
         moved = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").select("ra", "b")
-        moved = saved(moved, "moved").join(step.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        moved = moved.join(step.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         moved = moved.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if parents is None:
             parents = step
         else:
             up = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            parents = saved(parents.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "parents")
-        edges = saved(moved, "links")
+            parents = saved(parents.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "parents", most)
+        edges = saved(moved, "links", parts)
     return parents if parents is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

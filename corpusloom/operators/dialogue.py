@@ -48,6 +48,33 @@ def dialogue_summary(df: DataFrame, dialogue: str, turn: str, role: str, text: s
     )
 
 
+def dialogue_features(df: DataFrame, dialogue: str, turn: str, role: str, text: str, action: Column) -> DataFrame:
+    """Length bucket, action and next-step sequences of each dialogue, how many different actions it has, and how much shorter its assistant's part is than the whole.
+
+    action: what a turn does, null for nothing; a next step is an action with the one that follows it in the dialogue.
+    """
+    w = Window.partitionBy(dialogue).orderBy(turn)
+    acts = df.select(dialogue, turn, role, F.length(text).alias("chars"), X.count(F.col(text), r"\S+").alias("words"), action.alias("action"))
+    acts = acts.withColumn("later", F.first("action", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    step = F.when(F.col("action").isNotNull() & F.col("later").isNotNull(), F.concat_ws("->", "action", "later"))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(F.col(turn).alias("t"), c.alias("x"))))), lambda e: e["x"]), " > ")
+    sums = acts.groupBy(dialogue).agg(
+        F.sum("words").alias("n_words"),
+        listed(F.col("action")).alias("action_sequence"),
+        listed(step).alias("next_steps"),
+        F.countDistinct("action").alias("n_actions"),
+        F.try_divide(F.sum(F.when(F.col(role) == "assistant", F.col("chars")).otherwise(0)).cast("double"), F.sum("chars").cast("double")).alias("assistant_share"),
+    )
+    cuts = V.DIALOGUE_WORD_CUTS
+    names = [f"<={cuts[0]}", *[f"{a + 1}-{b}" for a, b in zip(cuts, cuts[1:], strict=False)], f">{cuts[-1]}"]
+    return sums.withColumn("length_bucket", V.band(F.col("n_words"), cuts, names))
+
+
+def flow_summary(df: DataFrame, flow: str, subflow: str, action_sequence: str, n_words: str) -> DataFrame:
+    """Per flow and subflow: dialogues, different action sequences, and mean length."""
+    return df.groupBy(flow, subflow).agg(F.count("*").alias("n"), F.countDistinct(action_sequence).alias("sequences"), F.avg(n_words).alias("mean_words"))
+
+
 def route(reasons: Column, judged: Column, decision: Column, known: Column) -> Column:
     """First of: unknown seeds are rejected; clean rows without a judgment are for review; so is what a judgment sends there, whatever the reasons; any reason, or a judgment, rejects."""
     bad = F.size(reasons) > 0
@@ -60,7 +87,6 @@ def route(reasons: Column, judged: Column, decision: Column, known: Column) -> C
     )
 
 
-
 def dialogue_reasons(seed_id: Column, conversation: Column, expected: Column, summary: Column, notes: Column, excerpt: Column, extra: Column | None = None, forbidden: str = "") -> Column:
     """Reasons against a generated dialogue: structure, personal data, copied text, promises, thin grounding; and a judgment's own."""
     spoken = lambda c: F.array_join(F.transform(c, lambda m: m["content"]), "\n")
@@ -96,6 +122,18 @@ def evidence_units(df: DataFrame, key: str, text: str, prefix: str = "G") -> Dat
     return units.select(key, F.format_string(f"{prefix}%03d", F.col("n") + 1).alias("unit_id"), "unit_text")
 
 
+def all_units(df: DataFrame, key: str, text: str, labels: dict[str, Column], strings: Sequence[Column], listed: Column) -> DataFrame:
+    """Labels as L001, sentences of the text as G001, and the strings of a generated record, those of its lists after the others, as S001; empty ones are left out."""
+    named = F.array(*[F.concat(F.lit(f"{n}: "), c) for n, c in labels.items()])
+    said = F.concat(F.array(*strings), listed)
+
+    def numbered(values: Column, prefix: str) -> DataFrame:
+        kept = F.filter(values, lambda v: v.isNotNull() & (F.trim(v) != ""))
+        return df.select(key, F.posexplode(kept).alias("n", "unit_text")).select(key, F.format_string(f"{prefix}%03d", F.col("n") + 1).alias("unit_id"), "unit_text")
+
+    return numbered(named, "L").union(evidence_units(df, key, text)).union(numbered(said, "S"))
+
+
 def evidence_valid(evidence: Column, source: Column) -> Column:
     """Whether a quotation stands in its source word for word."""
     return F.coalesce((F.length(evidence) > 0) & (F.instr(source, evidence) > 0), F.lit(False))

@@ -115,6 +115,28 @@ def label_set_metrics(df: DataFrame, gold: str, found: str) -> DataFrame:
     return sums.withColumns({"precision": d(tp, tp + fp), "recall": d(tp, tp + fn), "f1": d(2 * tp, 2 * tp + fp + fn)})
 
 
+def decision_metrics(df: DataFrame, gold: Column, found: Column, reject: str = "rejected", group: Sequence[str] = ()) -> DataFrame:
+    """Accuracy of decisions, and precision, recall and F1 of the one that rejects."""
+    n = lambda test: F.count(F.when(test, 1))
+    is_gold, is_found = F.coalesce(gold == reject, F.lit(False)), F.coalesce(found == reject, F.lit(False))
+    sums = df.groupBy(*group).agg(F.count("*").alias("n"), n(gold.eqNullSafe(found)).alias("same"), n(is_gold & is_found).alias("tp"), n(~is_gold & is_found).alias("fp"), n(is_gold & ~is_found).alias("fn"))
+    d = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    return sums.select(*group, "n", d(F.col("same"), F.col("n")).alias("accuracy"), d(tp, tp + fp).alias("reject_precision"), d(tp, tp + fn).alias("reject_recall"), d(2 * tp, 2 * tp + fp + fn).alias("reject_f1"))
+
+
+def compared_judges(df: DataFrame, gold: str, views: dict[str, str], decision: str, reject: str = "rejected") -> DataFrame:
+    """(view, metrics): label sets and decisions of each view of the same rows, such as a judge alone and combined with rules. views: name to the column with its labels; a view with labels rejects. decision: the gold decision's column."""
+    out = None
+    for name, column in views.items():
+        rows = df.withColumn("__found", F.when(F.size(column) > 0, reject).otherwise("kept"))
+        sets = label_set_metrics(rows, gold, column).select("tp", "fp", "fn", "exact_set_accuracy", "precision", "recall", "f1")
+        one = beside(sets, decision_metrics(rows, F.col(decision), F.col("__found"), reject).select("accuracy", "reject_precision", "reject_recall", "reject_f1"))
+        one = one.select(F.lit(name).alias("view"), *one.columns)
+        out = one if out is None else out.union(one)
+    return out
+
+
 def jensen_shannon(p: Sequence[Column], q: Sequence[Column], floor: float = 1e-12) -> Column:
     """Divergence of two histograms in bits, each bin raised by the floor first."""
     p, q = [c.cast("double") + floor for c in p], [c.cast("double") + floor for c in q]

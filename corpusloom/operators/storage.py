@@ -30,9 +30,15 @@ def new_folder(spark: SparkSession, label: str = "files") -> str:
     return f"{shared_folder(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str = "table") -> DataFrame:
-    """Written to the shared folder and read again: cuts the lineage, survives the loss of executors and gives later joins real sizes."""
+def parts_for(spark: SparkSession, rows: int, row_bytes: int) -> int:
+    """Parts for a table of at most so many rows of that size: of 64 MB, and two a core at least. Only where there are far more shuffle partitions than that does it save anything."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows * row_bytes // (1 << 26)))
+
+
+def saved(df: DataFrame, label: str = "table", parts: int | None = None) -> DataFrame:
+    """Written to the shared folder and read again: cuts the lineage, survives the loss of executors and gives later joins real sizes. parts: so many files at most, see parts_for."""
     path = new_folder(df.sparkSession, label)
+    df = df if parts is None else df.coalesce(parts)
     df.write.parquet(path)
     _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

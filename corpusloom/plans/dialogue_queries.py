@@ -45,6 +45,32 @@ def dialogue_structure(spark, sf_dir):
     return found.groupBy("first_role").agg(F.count("*").alias("n"), rate(F.col("alternates"), "alternating"), rate(F.col("n_turns").isin(4, 6, 8), "valid_length"), F.countDistinct("role_sequence").alias("sequences"))
 
 
+SQL_FEATURES = """a AS (SELECT conv_id, turn, role, length(text) AS chars, len(regexp_extract_all(text, '\\S+')) AS words, CASE WHEN contains(text, ',') THEN 'list' WHEN length(text) > 60 THEN 'tell' WHEN role = 'user' THEN 'ask' END AS action FROM conversations),
+n AS (SELECT *, first_value(action IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM a),
+f AS (SELECT conv_id, arg_min(role, turn) AS flow, arg_max(role, turn) AS subflow, CAST(sum(words) AS BIGINT) AS n_words, coalesce(string_agg(action, ' > ' ORDER BY turn), '') AS action_sequence, coalesce(string_agg(action || '->' || later, ' > ' ORDER BY turn), '') AS next_steps, count(DISTINCT action) AS n_actions, coalesce(sum(chars) FILTER (role = 'assistant'), 0) / sum(chars) AS share FROM n GROUP BY conv_id)"""
+
+
+def acting(spark, sf_dir):
+    """Turns' actions by simple signs: a comma lists, length tells, a short user turn asks."""
+    rows = turns(spark, sf_dir)
+    action = F.when(F.contains("text", F.lit(",")), "list").when(F.length("text") > 60, "tell").when(F.col("role") == "user", "ask")
+    flows = rows.groupBy("conv_id").agg(F.min_by("role", "turn").alias("flow"), F.max_by("role", "turn").alias("subflow"))
+    return D.dialogue_features(rows, "conv_id", "turn", "role", "text", action).join(flows, "conv_id")
+
+
+@query("dialogue_features", f"WITH {SQL_FEATURES} SELECT conv_id, n_words, CASE WHEN n_words <= 50 THEN '<=50' WHEN n_words <= 100 THEN '51-100' WHEN n_words <= 150 THEN '101-150' WHEN n_words <= 250 THEN '151-250' WHEN n_words <= 500 THEN '251-500' WHEN n_words <= 1000 THEN '501-1000' ELSE '>1000' END AS length_bucket, action_sequence, next_steps, n_actions, round(share, 9) AS assistant_share FROM f")
+def dialogue_features(spark, sf_dir):
+    """FE19: length buckets, action and next-step sequences, and the assistant's share."""
+    return acting(spark, sf_dir).select("conv_id", "n_words", "length_bucket", "action_sequence", "next_steps", "n_actions", F.round(F.coalesce("assistant_share", F.lit(0.0)), 9).alias("assistant_share"))
+
+
+@query("flow_summary", f"WITH {SQL_FEATURES} SELECT flow, subflow, count(*) AS n, count(DISTINCT action_sequence) AS sequences, round(avg(n_words), 6) AS mean_words FROM f GROUP BY ALL")
+def flow_summary(spark, sf_dir):
+    """CF22: dialogues and different action sequences by flow and subflow, here the first and the last role."""
+    found = D.flow_summary(acting(spark, sf_dir), "flow", "subflow", "action_sequence", "n_words")
+    return found.select("flow", "subflow", "n", "sequences", F.round("mean_words", 6).alias("mean_words"))
+
+
 @query("stage_summary", "SELECT role, CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, count(*) AS n, round(avg(n), 6) AS mean, round(median(n), 6) AS median, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.75), 6) AS p75 FROM (SELECT role, CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS split, length(text) AS n FROM conversations) GROUP BY GROUPING SETS ((role), (role, split))")
 def stage_summary(spark, sf_dir):
     """AG27: statistics per stage over all rows and per split, by grouping sets."""
@@ -111,10 +137,13 @@ def speaker_turns(spark, sf_dir):
     return found.join(least, "id").select("id", (F.col("turn") - F.col("t0")).cast("int").alias("turn"), "speaker", "words")
 
 
-@query("evidence_units")
+@query("evidence_units", """WITH u AS (SELECT item_id, list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]+|$)')], lambda x: x <> '') AS s FROM benchmark) SELECT item_id, format('G{:03d}', k) AS unit_id, s[k] AS unit_text FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS k FROM u) UNION ALL SELECT item_id, 'L001', 'item: ' || item_id FROM benchmark UNION ALL SELECT item_id, 'L002', 'kind: benchmark' FROM benchmark UNION ALL SELECT item_id, 'S001', 'item ' || item_id FROM benchmark UNION ALL SELECT item_id, 'S002', substr(text, 1, 20) FROM benchmark""")
 def evidence_units(spark, sf_dir):
-    """GV16, CF20: numbered sentences of benchmark items."""
-    return D.evidence_units(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    """GV16: labels, numbered sentences and generated strings of benchmark items."""
+    items = table(spark, sf_dir, "benchmark")
+    key = F.col("item_id").cast("string")
+    made = F.struct(F.concat(F.lit("item "), key).alias("summary"), F.array(F.substring("text", 1, 20)).alias("notes"))
+    return D.all_units(items.withColumn("generated", made), "item_id", "text", {"item": key, "kind": F.lit("benchmark")}, [F.col("generated.summary")], F.col("generated.notes"))
 
 
 @query("evidence_checks", "SELECT item_id, contains(text, substr(text, 5, 20)) AS valid, false AS empty_valid FROM benchmark")

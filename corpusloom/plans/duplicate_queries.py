@@ -146,11 +146,23 @@ def cluster_packs(spark, sf_dir):
     return U.cluster_pack(_edges(spark), U.bridge_edges(_edges(spark)), required=5)
 
 
-@query("cluster_evidence")
+SQL_EDGES = f"e AS (SELECT component, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, jaccard FROM (VALUES {EDGES}) AS t(component, a, b, jaccard))"
+
+
+@query("cluster_evidence", f"""WITH {SQL_EDGES}, x AS (SELECT component, unnest([a, b]) AS node FROM e), g AS (SELECT component, node, count(*) AS degree FROM x GROUP BY ALL),
+b AS (SELECT 'c1' AS component, CAST(3 AS BIGINT) AS a, CAST(4 AS BIGINT) AS b UNION ALL SELECT 'c2', 7, 8), n AS (SELECT component, node, degree, node * 10 AS length, node % 3 AS kind FROM g),
+r AS (SELECT component, node, 'high_degree' AS reason FROM g QUALIFY row_number() OVER (PARTITION BY component ORDER BY degree DESC, node) <= 3
+UNION ALL SELECT component, unnest([a, b]), 'weak_edge_endpoint_' || k FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY jaccard, a, b) AS k FROM e) WHERE k <= 4
+UNION ALL SELECT component, unnest([a, b]), 'reviewed_bridge_endpoint' FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY a, b) AS k FROM b) WHERE k <= 4
+UNION ALL SELECT component, node, 'shortest_text' FROM n QUALIFY row_number() OVER (PARTITION BY component ORDER BY length, node) = 1
+UNION ALL SELECT component, node, 'longest_text' FROM n QUALIFY row_number() OVER (PARTITION BY component ORDER BY length DESC, node DESC) = 1
+UNION ALL SELECT component, node, 'metadata_diversity' FROM (SELECT component, kind, min(node) AS node FROM n GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY component ORDER BY node) <= 6),
+d AS (SELECT component, node, list_sort(list_distinct(list(reason))) AS rs FROM r GROUP BY ALL)
+SELECT component, node, CAST(row_number() OVER (PARTITION BY component ORDER BY len(list_filter(rs, lambda y: starts_with(y, 'weak_edge'))) = 0, NOT list_contains(rs, 'high_degree'), degree DESC, node) AS INTEGER) AS evidence_rank, degree, array_to_string(rs, '|') AS reasons FROM d JOIN g USING (component, node)""")
 def cluster_evidence(spark, sf_dir):
     """DU10: nodes worth reading and why."""
-    lengths = spark.range(1, 9).select(F.col("id").alias("node"), (F.col("id") * 10).alias("length"))
-    return U.cluster_evidence(_edges(spark), U.bridge_edges(_edges(spark)), lengths)
+    nodes = spark.range(1, 9).select(F.col("id").alias("node"), (F.col("id") * 10).alias("length"), (F.col("id") % 3).alias("kind"))
+    return U.cluster_evidence(_edges(spark), U.bridge_edges(_edges(spark)), nodes)
 
 
 @query("family_pairs", f"WITH {SQL_VIEWS}, m AS (SELECT family_signature, doc_id AS a, lead(doc_id) OVER w AS b, row_number() OVER w AS r, count(*) OVER (PARTITION BY family_signature) AS n FROM families WHERE eligible WINDOW w AS (PARTITION BY family_signature ORDER BY doc_id)), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, family_signature) AS k FROM m WHERE r = 1 AND n > 1), o AS (SELECT *, row_number() OVER (ORDER BY sha256('7|family|' || family_signature)) AS j FROM p WHERE k > 10) SELECT family_signature, a, b, n, 'census' AS selection FROM p WHERE k <= 10 UNION ALL SELECT family_signature, a, b, n, 'sample' FROM o WHERE j <= 15")

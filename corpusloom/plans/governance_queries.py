@@ -10,17 +10,53 @@ from corpusloom.operators import rules as R
 from corpusloom.plans.catalog import query, table
 
 
-@query("release_checks", """SELECT 'no blank text' AS "check", count(*) FILTER (trim(text) = '') = 0 AS passed, count(*) FILTER (trim(text) = '') AS failures FROM documents UNION ALL SELECT 'unique ids', count(*) = count(DISTINCT doc_id), count(*) - count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'no mail address', count(*) FILTER (regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b')) = 0, count(*) FILTER (regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b')) FROM documents UNION ALL SELECT 'labels known', count(*) = 0, count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+MAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+# each check: its name, the rows that break it as SQL over d (documents), l (labels) and b (benchmark), which Spark and DuckDB both read
+CHECKS = {
+    "no blank text": "SELECT 1 FROM d WHERE trim(text) = ''",
+    "no null text": "SELECT 1 FROM d WHERE text IS NULL",
+    "no null id": "SELECT 1 FROM d WHERE doc_id IS NULL",
+    "unique ids": "SELECT 1 FROM (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY doc_id) AS k FROM d) WHERE k > 1",
+    "no negative id": "SELECT 1 FROM d WHERE doc_id < 0",
+    "language known": "SELECT 1 FROM d WHERE lang IS NULL OR lang NOT IN ('en', 'fr', 'de', 'es')",
+    "source known": "SELECT 1 FROM d WHERE source IS NULL OR trim(source) = ''",
+    "lengths agree": "SELECT 1 FROM d WHERE n_chars <> length(text)",
+    "no exact copies": "SELECT 1 FROM (SELECT row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM d) WHERE k > 1",
+    "one copy a source": "SELECT 1 FROM (SELECT row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) AS k FROM d) WHERE k > 1",
+    "no mail address": "SELECT 1 FROM d WHERE mail",
+    "no redaction mark": "SELECT 1 FROM d WHERE contains(text, '[REDACTED]')",
+    "no candidate mark": "SELECT 1 FROM d WHERE contains(text, '[PII_CANDIDATE]')",
+    "no control characters": "SELECT 1 FROM d WHERE contains(text, chr(0)) OR contains(text, chr(127))",
+    "enough words": "SELECT 1 FROM d WHERE length(text) - length(replace(text, ' ', '')) < 12",
+    "texts within the limit": "SELECT 1 FROM d WHERE length(text) > 100000",
+    "labels unique": "SELECT 1 FROM (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY doc_id) AS k FROM l) WHERE k > 1",
+    "labels known": "SELECT 1 FROM l WHERE doc_id NOT IN (SELECT doc_id FROM d)",
+    "quality is 0 or 1": "SELECT 1 FROM l WHERE quality IS NULL OR quality NOT IN (0, 1)",
+    "toxic is 0 or 1": "SELECT 1 FROM l WHERE toxic IS NULL OR toxic NOT IN (0, 1)",
+    "no toxic document": "SELECT 1 FROM l WHERE toxic = 1",
+    "no low quality": "SELECT 1 FROM l WHERE quality = 0",
+    "every language labelled": "SELECT lang FROM d GROUP BY lang HAVING lang NOT IN (SELECT lang FROM d WHERE doc_id IN (SELECT doc_id FROM l))",
+    "labelled share within 0.1": "SELECT 1 FROM (SELECT abs(count(CASE WHEN doc_id IN (SELECT doc_id FROM l) THEN 1 END) / count(*) - 0.4) AS gap FROM d) WHERE gap > 0.1",
+    "source cap of a half": "SELECT source FROM d GROUP BY source HAVING count(*) > 0.5 * (SELECT count(*) FROM d)",
+    "language floor of a twentieth": "SELECT lang FROM d GROUP BY lang HAVING count(*) < 0.05 * (SELECT count(*) FROM d)",
+    "five sources or more": "SELECT 1 FROM (SELECT count(DISTINCT source) AS n FROM d) WHERE n < 5",
+    "no benchmark item whole": "SELECT 1 FROM b WHERE text IN (SELECT text FROM d)",
+    "items unique": "SELECT 1 FROM (SELECT row_number() OVER (PARTITION BY item_id ORDER BY item_id) AS k FROM b) WHERE k > 1",
+    "items not blank": "SELECT 1 FROM b WHERE text IS NULL OR trim(text) = ''",
+    "hashes of 64 digits": "SELECT 1 FROM d WHERE length(sha256(text)) <> 64",
+    "ids in one range": "SELECT 1 FROM (SELECT max(doc_id) - min(doc_id) + 1 - count(*) AS gap FROM d) WHERE gap <> 0",
+    "splits don't overlap": "SELECT 1 FROM d WHERE doc_id IN (SELECT doc_id FROM l WHERE quality = 0) AND doc_id IN (SELECT doc_id FROM l WHERE quality = 1)",
+    "no leading byte mark": "SELECT 1 FROM d WHERE starts_with(text, chr(65279))",
+}
+_DUCK = f"WITH d AS (SELECT *, regexp_matches(text, '{MAIL}') AS mail FROM documents), l AS (SELECT * FROM labels), b AS (SELECT * FROM benchmark) "
+
+
+@query("release_checks", _DUCK + " UNION ALL ".join(f"""SELECT '{n.replace("'", "''")}' AS "check", count(*) = 0 AS passed, count(*) AS failures FROM ({q})""" for n, q in CHECKS.items()))
 def release_checks(spark, sf_dir):
-    """GV4, GV5, PF16: a table of checks with their failures."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").select(F.explode(F.sequence(F.lit(2), F.col("count"))))
-    return G.check_table([
-        ("no blank text", docs.filter(F.trim("text") == "")),
-        ("unique ids", repeated),
-        ("no mail address", docs.filter(F.col("text").rlike(r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"))),
-        ("labels known", labels.join(docs.select("doc_id"), "doc_id", "left_anti")),
-    ])
+    """GV4, GV5, PF16: a table of checks with their failures: keys, texts, caps, floors, labels, overlaps."""
+    frames = {"d": table(spark, sf_dir, "documents").withColumn("mail", F.col("text").rlike(MAIL)), "l": table(spark, sf_dir, "labels"), "b": table(spark, sf_dir, "benchmark")}
+    own = lambda q: q.replace("sha256(text)", "sha2(text, 256)").replace("starts_with(", "startswith(").replace("chr(65279)", "decode(unhex('EFBBBF'), 'utf-8')").replace("FROM d", "FROM {d}").replace("FROM l", "FROM {l}").replace("FROM b", "FROM {b}")
+    return G.check_table([(n, spark.sql(own(q), **{k: f for k, f in frames.items() if f"{{{k}}}" in own(q)})) for n, q in CHECKS.items()])
 
 
 @query("clearances", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_reviewed_no_finding' WHEN l.toxic = 1 THEN 'blocked' ELSE 'cleared' END AS clearance_status, CASE WHEN coalesce(l.toxic, 0) = 1 THEN 'exclude' ELSE 'allow' END AS release_action FROM documents d LEFT JOIN labels l USING (doc_id)")

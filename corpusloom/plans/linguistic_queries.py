@@ -41,13 +41,53 @@ def claims_and_slots(spark, sf_dir):
     return narratives(spark).select("id", V.first_name(t, N.CLAIMS, "unknown_ambiguous").alias("claim"), V.first_name(t, N.RAILS, "unknown").alias("rail"), F.array_join(V.missing_names(t, N.SLOTS), "|").alias("missing"))
 
 
+def _has(p):
+    quoted = p.replace("'", "''")
+    return f"regexp_matches(text, '{quoted}')"
+
+
+def _listed(tests):
+    """Names of the tests that hold, joined, or none_detected."""
+    return "coalesce(nullif(concat_ws('|', " + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in tests.items()) + "), ''), 'none_detected')"
+
+
+_first = lambda patterns, default: "CASE " + " ".join(f"WHEN {_has(p)} THEN '{n}'" for n, p in patterns.items()) + f" ELSE '{default}' END"
+
+
+@query("scenario_fields", f"WITH {SQL_NARRATIVES}, c AS (SELECT id, text, {_first(N.CLAIMS, 'unknown_ambiguous')} AS claim, {_first(N.RAILS, 'unknown')} AS rail FROM n) SELECT id, claim, rail, CASE WHEN rail IN ('debit_card', 'credit_card', 'prepaid_card') THEN rail ELSE 'unknown' END AS card, coalesce(concat_ws('|', " + ", ".join(f"CASE WHEN {_has(p)} THEN '{s}' END" for s, p in N.SLOTS.items()) + "), '') AS present, " + _listed({s: _has(p) for s, p in N.SPEECH_ACTS.items()}) + " AS speech FROM c")
+def scenario_fields(spark, sf_dir):
+    """FE15: what the scenario records hold, read back from their JSON."""
+    kind = "record_id string, claim_type_candidate string, payment_rail_candidate string, card_type_candidate string, present_slots array<string>, linguistic_features struct<speech_act_layers: string>"
+    rows = scenario_records(spark, sf_dir).select("id", F.from_json("record", kind).alias("r"))
+    return rows.select("id", F.col("r.claim_type_candidate").alias("claim"), F.col("r.payment_rail_candidate").alias("rail"), F.col("r.card_type_candidate").alias("card"), F.array_join("r.present_slots", "|").alias("present"), F.col("r.linguistic_features.speech_act_layers").alias("speech"))
+
+
 @query("scenario_records")
 def scenario_records(spark, sf_dir):
     """FE15, GV18's input contract: scenario records as JSON."""
     return narratives(spark).select("id", N.scenario_json(F.col("id"), F.col("text"), F.lit("consumer_narrative"), route_hint).alias("record"))
 
 
-@query("candidate_labels")
+_E = {n: _has(p) for n, p in V.EXTENDED.items() if n != "agentless_passive"}
+_SLOTS = {
+    "amount": _has(r"\[AMOUNT\]|\$\s*\d"),
+    "date": _has(r"\[DATE\]"),
+    "account_or_card_type": _has(r"(?i)\b(?:credit card|debit card|prepaid card|Zelle|ACH|wire transfer|checking account|savings account|mortgage|student loan|vehicle loan)\b"),
+    "merchant_or_institution": _has(r"(?i)\b(?:merchant|retailer|store|restaurant|vendor|Amazon|Walmart|Uber|Costco|company|collector|lender|bank)\b"),
+    "claim_signal": _E["authorization"],
+}
+_pair = lambda a, b, both, one, other: f"CASE WHEN {a} AND {b} THEN '{both}' WHEN {a} THEN '{one}' WHEN {b} THEN '{other}' ELSE 'none_detected' END"
+_N_SLOTS = "(" + " + ".join(f"CAST({t} AS INTEGER)" for t in _SLOTS.values()) + ")"
+_TIMES = "len(regexp_extract_all(text, '" + N.TIME_TOKEN + "'))"
+SQL_LABELS = f"""SELECT id, {_E['negation']} AS candidate_negation, {_E['hedging']} AS candidate_hedging, {_pair(_E['modality_epistemic'], _E['modality_deontic'], 'epistemic_and_deontic', 'epistemic_only', 'deontic_only')} AS candidate_modality,
+{_pair(_E['emotion'], _E['escalation'], 'emotion_and_escalation', 'emotion_only', 'escalation_only')} AS candidate_emotion_escalation,
+CASE WHEN {_has(r"(?i)\b(?:can you|could you|would you|will you|I wonder if|I hope you can|why (?:hasn't|haven't|didn't|won't))\b")} THEN 'indirect_request_candidate' WHEN {_has(r"(?i)\b(?:is this a joke|how (?:can|could) (?:you|they)|what kind of|how is this (?:fair|legal|possible))\b")} THEN 'rhetorical_complaint_candidate' WHEN contains(text, '?') THEN 'interrogative_other' ELSE 'none_detected' END AS candidate_speech_act,
+{_listed({s: _E['request_or_demand'] if s == 'request' else _has(p) for s, p in N.STAGES.items()})} AS candidate_narrative_stages,
+CASE WHEN {_TIMES} = 0 THEN 'no_time_anchor' WHEN {_has(N.NONLINEAR_TIME)} THEN 'nonlinear_or_contrastive' WHEN {_TIMES} = 1 THEN 'single_time_anchor' ELSE 'multiple_time_anchors' END AS candidate_temporal_complexity,
+CASE WHEN {_N_SLOTS} >= 4 THEN 'explicit_rich' WHEN {_N_SLOTS} >= 2 THEN 'explicit_partial' WHEN {_N_SLOTS} = 1 THEN 'minimal_explicit' ELSE 'implicit_or_missing' END AS candidate_slot_realization, {_listed(_SLOTS)} AS candidate_explicit_slots FROM n"""
+
+
+@query("candidate_labels", f"WITH {SQL_NARRATIVES} {SQL_LABELS}")
 def candidate_labels(spark, sf_dir):
     """FE16."""
     return narratives(spark).select("id", *[c.alias(n) for n, c in N.candidate_labels(F.col("text")).items()])

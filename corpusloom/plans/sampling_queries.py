@@ -119,7 +119,7 @@ def hash_order(spark, sf_dir):
     return A.hash_sample(table(spark, sf_dir, "documents").select("doc_id"), 50, key_json(SEED, "draw", F.col("doc_id")))
 
 
-@query("double_annotation")
+@query("double_annotation", f"WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {sql_key(SEED + 1, 'double', 'doc_id')}) AS k FROM documents), d AS (SELECT * FROM r WHERE k <= 12 ORDER BY k, lang, doc_id LIMIT 12) SELECT doc_id, lang, unnest(['A', 'B']) AS annotator FROM d")
 def double_annotation(spark, sf_dir):
     """SA15: rows for two annotators."""
     return A.double_annotation(table(spark, sf_dir, "documents").select("doc_id", "lang"), 12, ["lang"], "doc_id", SEED)

@@ -49,6 +49,41 @@ def label_sets(spark, sf_dir):
     return found.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("exact_set_accuracy", "precision", "recall", "f1", "mean_jaccard")])
 
 
+SQL_RULINGS = """r AS (SELECT l.doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 'rejected' ELSE 'kept' END AS decision, list_filter([CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS gold,
+list_filter([CASE WHEN regexp_matches(text, '(?i)idiot|worthless|pathetic') THEN 'toxic' END], lambda x: x IS NOT NULL) AS judge, list_filter([CASE WHEN regexp_matches(text, '(?i)idiot|worthless|pathetic') THEN 'toxic' END, CASE WHEN contains(text, '###') OR length(text) < 200 THEN 'low_quality' END], lambda x: x IS NOT NULL) AS combined FROM labels l JOIN documents d USING (doc_id))"""
+_SQL_RATES = "round(tp / (tp + fp), 9) AS reject_precision, round(tp / (tp + fn), 9) AS reject_recall, round(2 * tp / (2 * tp + fp + fn), 9) AS reject_f1"
+
+
+def rulings(spark, sf_dir):
+    """Gold decisions and labels, those of a judge that knows insults alone, and those with rules besides."""
+    pick = lambda *c: F.array_compact(F.array(*c))
+    insult, thin = F.when(F.col("text").rlike("(?i)idiot|worthless|pathetic"), "toxic"), F.when(F.contains("text", F.lit("###")) | (F.length("text") < 200), "low_quality")
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    bad, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    return rows.select("doc_id", F.when(bad | toxic, "rejected").otherwise("kept").alias("decision"), pick(F.when(bad, "low_quality"), F.when(toxic, "toxic")).alias("gold"), pick(insult).alias("judge"), pick(insult, thin).alias("combined"))
+
+
+@query("decision_metrics", f"WITH {SQL_RULINGS}, s AS (SELECT count(*) AS n, avg((decision = CASE WHEN len(combined) > 0 THEN 'rejected' ELSE 'kept' END)::INTEGER) AS a, count(*) FILTER (decision = 'rejected' AND len(combined) > 0) AS tp, count(*) FILTER (decision <> 'rejected' AND len(combined) > 0) AS fp, count(*) FILTER (decision = 'rejected' AND len(combined) = 0) AS fn FROM r) SELECT n, round(a, 9) AS accuracy, {_SQL_RATES} FROM s")
+def decision_metrics(spark, sf_dir):
+    """AG18: accuracy, and precision, recall and F1 of rejection."""
+    found = S.decision_metrics(rulings(spark, sf_dir), F.col("decision"), F.when(F.size("combined") > 0, "rejected").otherwise("kept"))
+    return found.select("n", *[F.round(c, 9).alias(c) for c in ("accuracy", "reject_precision", "reject_recall", "reject_f1")])
+
+
+def _sql_view(view):
+    both = f"len(list_intersect(gold, {view}))"
+    return f"""SELECT '{view}' AS view, CAST(b AS BIGINT) AS tp, CAST(f - b AS BIGINT) AS fp, CAST(g - b AS BIGINT) AS fn, round(e, 9) AS exact_set_accuracy, round(b / f, 9) AS precision, round(b / g, 9) AS recall, round(2 * b / (f + g), 9) AS f1, round(a, 9) AS accuracy, {_SQL_RATES.replace('tp', 't').replace('fp', 'p').replace('fn', 'm')}
+FROM (SELECT sum({both}) AS b, sum(len({view})) AS f, sum(len(gold)) AS g, avg(({both} = len(gold) AND {both} = len({view}))::INTEGER) AS e, avg(((decision = 'rejected') = (len({view}) > 0))::INTEGER) AS a,
+count(*) FILTER (decision = 'rejected' AND len({view}) > 0) AS t, count(*) FILTER (decision <> 'rejected' AND len({view}) > 0) AS p, count(*) FILTER (decision = 'rejected' AND len({view}) = 0) AS m FROM r)"""
+
+
+@query("judge_views", f"WITH {SQL_RULINGS} " + " UNION ALL ".join(map(_sql_view, ("judge", "combined"))))
+def judge_views(spark, sf_dir):
+    """GV20: a judge alone against the judge combined with rules."""
+    found = S.compared_judges(rulings(spark, sf_dir), "gold", {"judge": "judge", "combined": "combined"}, "decision")
+    return found.select("view", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in found.columns[4:]])
+
+
 @query("char_quantiles", "SELECT lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, round(stddev_samp(n_chars) / avg(n_chars), 6) AS cv, min(n_chars) AS min, max(n_chars) AS max, " + ", ".join(f"round(quantile_cont(n_chars, {q}), 6) AS p{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM documents GROUP BY lang")
 def char_quantiles(spark, sf_dir):
     """AG1, AG8, AG9."""

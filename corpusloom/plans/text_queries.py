@@ -119,13 +119,23 @@ def detector_coverage(spark, sf_dir):
     return docs.groupBy("lang").agg(n(r"(?i)\b(?:no|on)\b", "no_or_on"), n(V.DETECTORS["temporal"], "temporal"), F.count("*").alias("n"))
 
 
-@query("extended_detectors")
+def sql_detect_count(x, pattern):
+    """Matches; those that a pattern forbids to be followed are counted and taken off, as the SQL engine can't look ahead."""
+    ahead = r"(?!\s+by\b)"
+    return sql_count(x, pattern) if not pattern.endswith(ahead) else f"({sql_count(x, pattern.removesuffix(ahead))} - {sql_count(x, pattern.removesuffix(ahead) + r'\s+by\b')})"
+
+
+_WORDS_SQL = sql_count("text", X.WORD)
+_CAPITALS_SQL = f"""CAST(len(list_filter(regexp_extract_all(text, '\\b[A-Z]{{3,}}\\b'), lambda t: t NOT IN ({", ".join(f"'{c}'" for c in V.CAPITALS)}) AND NOT regexp_matches(t, '^X+$'))) AS BIGINT)"""
+
+
+@query("extended_detectors", f"WITH {SQL_SAMPLES} SELECT id, " + ", ".join(f"{sql_detect_count('text', p)} > 0 AS {n}, {sql_detect_count('text', p)} AS {n}_count, CASE WHEN {_WORDS_SQL} = 0 THEN 0.0 ELSE 100.0::DOUBLE * {sql_detect_count('text', p)} / {_WORDS_SQL} END AS {n}_per_100_words" for n, p in V.EXTENDED.items()) + f", CASE WHEN {_WORDS_SQL} = 0 THEN 0.0 ELSE 100.0::DOUBLE * {sql_count('text', V.PRONOUN)} / {_WORDS_SQL} END AS pronouns_per_100, {_CAPITALS_SQL} AS capitals, {sql_count('text', V.EXPRESSIVE_PUNCTUATION)} AS expressive_punctuation FROM samples")
 def extended_detectors(spark, sf_dir):
-    """FE11: twelve detectors, pronoun rate, capitals and expressive punctuation; look-around keeps SQL out."""
+    """FE11: twelve detectors, pronoun rate, capitals and expressive punctuation."""
     t = F.col("text")
     words = V.word_count(t)
     found = V.detect(t, words, V.EXTENDED)
-    return samples(spark).select("id", *[c.alias(n) for n, c in found.items()], (100 * V.ratio(X.count(t, V.PRONOUN), words)).alias("pronouns_per_100"), V.capitals_emphasis(t).alias("capitals"), X.count(t, V.EXPRESSIVE_PUNCTUATION).alias("expressive_punctuation"))
+    return samples(spark).select("id", *[c.cast("bigint").alias(n) if n.endswith("_count") else c.alias(n) for n, c in found.items()], (100 * V.ratio(X.count(t, V.PRONOUN), words)).alias("pronouns_per_100"), V.capitals_emphasis(t).cast("bigint").alias("capitals"), X.count(t, V.EXPRESSIVE_PUNCTUATION).cast("bigint").alias("expressive_punctuation"))
 
 
 PHONE_SQL = r"(?:^|[^0-9])(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}(?:[^0-9]|$)"
