@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, nearcopies, packing, quality, secrets
+from corpusloom.llm import langid, packing, quality, secrets, simhash
 from corpusloom.llm.common import drop_staged, read, stage_table, staged_so_far
 
+#: Near-duplicates: words in a shingle, and the Jaccard similarity that links two texts.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+
 
 def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The columns under names that no operator makes, and the new name of each."""
@@ -45,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # far above any id, and the same for equal texts
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(at["text"], F.lit(""))), F.lit(1 << 61))
     keyed = rows.withColumn("row_key", F.coalesce(at["doc_id"], stand_in))
-    found = nearcopies.near_copies(keyed, "row_key", at["text"])
+    found = simhash.near_duplicates(keyed, "row_key", at["text"], width=SHINGLE_WORDS, similarity=SIMILARITY)
     first = stage_table(found.filter(F.col("row_key") == F.col("component")).select("row_key").distinct(), "firsts")
     kept = keyed.join(first, "row_key")
     # rows of one id are rare; of those the first in the order of their columns stays

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read, slices, stage_table
 from corpusloom.llm.components import components
+from corpusloom.llm.nearcopies import near_copies
 
 BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
@@ -117,8 +118,14 @@ def near_links(bits: DataFrame, radius: int = 2, tile_rows: int = TILE_ROWS) ->
     return host.union(guest).groupBy("home", "x", "y").applyInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, bits, component): component is the smallest id whose fingerprint is reached by steps of at most radius differing bits."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3, seed: int = 42, similarity: float | None = None) -> DataFrame:
+    """(id, bits, component): component is the smallest id whose fingerprint is reached by steps of at most radius differing bits.
+
+    With a similarity the fingerprints are wide ones, their radius follows from it, and links are checked against the full sets
+    of shingles: (id, component), as nearcopies says.
+    """
+    if similarity is not None:
+        return near_copies(df, id_col, text_col, width, similarity)
     rows = stage_table(fingerprints(df, id_col, text_col, width, seed), "documents")
     firsts = stage_table(rows.groupBy("bits").agg(F.min("id").alias("first")), "distinct")
     roots = components(near_links(firsts.select("bits"), radius))
