@@ -1,10 +1,11 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A fingerprint's 64 bits fall in four blocks; the bits set in each block are counted, and fingerprints with the same four
-counts form a tile. Two fingerprints differ in at least as many bits as their block counts do in sum, so tile pairs
-whose counts differ beyond the radius are skipped, and all other pairs are compared in full by exclusive-or and
-bit counts. Equal fingerprints are merged first, a large tile is cut into blocks of bounded size that meet pair by pair,
-and a task gives the links that span what it found, not all pairs: components stay whole and output stays linear.
+Two fingerprints that differ in at most r bits agree in all but r of any blocks that the 64 bits are cut into, so each fingerprint
+goes to the bucket of every choice of blocks that may agree: three copies for two bits, at any number of fingerprints. In a
+bucket, fingerprints with the same number of set bits form a tile; tile pairs whose counts differ beyond the radius are skipped, and
+all other pairs are compared in full by exclusive-or and bit counts. Equal fingerprints are merged first, small buckets share a
+task, a large bucket is cut into blocks of bounded size that meet pair by pair, and a task gives the links that span what it found,
+not all pairs: components stay whole and output stays linear.
 
 Null text counts as empty; texts without words have fingerprint zero and are linked like any other. Repeated rows
 are rows of their own with the same fingerprint; null ids get a component like others and never name one unless all
@@ -23,14 +24,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read, slices, stage_table
 from corpusloom.llm.components import components
-from corpusloom.llm.nearcopies import near_copies
+from corpusloom.llm.nearcopies import merged, near_copies
 
-BLOCKS = 4
-BLOCK_BITS = 64 // BLOCKS
-#: Bits of a tile number for each block's count.
-COUNT_BITS = 6
-#: Fingerprints in one block of a tile, about; it is compared with a block of its neighbours' four times that size.
+#: Fingerprints in one block of a large bucket, about; small buckets share tasks of four times that size.
 TILE_ROWS = 2048
+#: Beyond so many fingerprints, and again beyond each further time that many, there is one block more: buckets stay small and copies grow by a step.
+STEP_ROWS = 1 << 29
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -64,58 +63,79 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, bits bigint")
 
 
-def near_counts(radius: int) -> list[int]:
-    """Differences of tile numbers that fingerprints within the radius can have: none, and one of each opposite pair."""
-    steps = itertools.product(range(-radius, radius + 1), repeat=BLOCKS)
-    return sorted(sum(n << (COUNT_BITS * k) for k, n in enumerate(d)) for d in steps if sum(map(abs, d)) <= radius and d >= (0,) * BLOCKS)
+def masks(radius: int, blocks: int) -> list[int]:
+    """The bits of each choice of blocks in which two fingerprints within the radius may agree, as signed numbers."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    of = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    found = [sum(of[k] for k in choice) for choice in itertools.combinations(range(blocks), blocks - radius)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in found]
 
 
 def spanning(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what pairs of a and b within the radius connect: each member of a component with one of them."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = at[: len(a)], at[len(a) :]
+    order_a, order_b = np.argsort(np.bitwise_count(a), kind="stable"), np.argsort(np.bitwise_count(b), kind="stable")
+    a, left = a[order_a], at[: len(a)][order_a]
+    b, right = b[order_b], at[len(a) :][order_b]
+    ones, others = np.bitwise_count(a).astype(np.int64), np.bitwise_count(b).astype(np.int64)
     label = np.arange(len(nodes))
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for k in range(0, len(a), step):
-        r, c = np.nonzero(np.bitwise_count(a[k : k + step, None] ^ b[None, :]) <= radius)
-        u, v = left[r + k], right[c]
-        while (apart := label[u] != label[v]).any():
-            u, v = u[apart], v[apart]
-            lu, lv = label[u], label[v]
-            np.minimum.at(label, np.maximum(lu, lv), np.minimum(lu, lv))
-            while (label != label[label]).any():
-                label = label[label]
+    k = 0
+    while k < len(a):  # a tile, or a part of one, meets the tiles near it
+        end = min(int(np.searchsorted(ones, ones[k], "right")), k + max(1, (1 << 20) // max(1, len(b))))
+        low, high = np.searchsorted(others, ones[k] - radius, "left"), np.searchsorted(others, ones[k] + radius, "right")
+        r, c = np.nonzero(np.bitwise_count(a[k:end, None] ^ b[None, low:high]) <= radius)
+        label = merged(label, left[r + k], right[c + low])
+        k = end
+    away = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[away], nodes[label[away]]
+
+
+def spanning_runs(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many small buckets at once: the pairs of values that share a key. Sorted by key and bits set, each value meets the next, the one after, and so on, as long as key and tile allow."""
+    ones = np.bitwise_count(values).astype(np.int64)
+    order = np.lexsort((ones, keys))
+    keys, values, ones = keys[order], values[order], ones[order]
+    nodes, at = np.unique(values, return_inverse=True)
+    label = np.arange(len(nodes))
+    live, step = np.arange(len(values)), 1
+    while len(live := live[live + step < len(values)]):
+        live = live[(keys[live] == keys[live + step]) & (ones[live + step] - ones[live] <= radius)]
+        near = live[np.bitwise_count(values[live] ^ values[live + step]) <= radius]
+        label = merged(label, at[near], at[near + step])
+        step += 1
     away = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[away], nodes[label[away]]
 
 
 def near_links(bits: DataFrame, radius: int = 2, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links (a, b) between different fingerprints that connect the same components as all pairs within the radius do. bits: distinct, not null."""
-    count = lambda k: F.bit_count(F.shiftrightunsigned("bits", k * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1)) + radius
-    number = sum((F.shiftleft(count(k), COUNT_BITS * k) for k in range(1, BLOCKS)), count(0)).cast("int")
-    tiles = stage_table(bits.select("bits", number.alias("tile")), "fingerprints")
-    sizes = stage_table(tiles.groupBy("tile").agg(F.count("*").alias("n")), "tiles")
-    # a tile meets itself and its near neighbours on one side
-    met = sizes.select(F.col("tile").alias("home"), F.col("n").alias("mine"), F.explode(F.array(*map(F.lit, near_counts(radius)))).alias("step"))
-    met = met.withColumn("tile", (F.col("home") + F.col("step")).cast("int")).join(sizes, "tile").select("home", "mine", "tile", "n")
-    met = stage_table(met, "meetings")
-    parts = lambda n, most: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
-    homes = met.groupBy("home").agg(parts(F.first("mine"), tile_rows).alias("nx"), parts(F.sum("n"), 4 * tile_rows).alias("ny"))
-    homes = stage_table(homes, "homes")
-    visits = stage_table(met.join(homes, "home").select("tile", "home", "nx", "ny"), "visits")
-    # block x of the tile meets block y of the tile and its neighbours
-    block = lambda n: F.pmod(F.xxhash64("bits", F.lit(7)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    host = tiles.join(homes.withColumnRenamed("home", "tile"), "tile").select(F.col("tile").alias("home"), block("nx").alias("x"), each("ny").alias("y"), F.lit(True).alias("host"), "bits")
-    guest = tiles.join(visits, "tile").select("home", each("nx").alias("x"), block("ny").alias("y"), F.lit(False).alias("host"), "bits")
-
-    def compare(group: pa.Table) -> pa.Table:
-        host = group.column("host").to_numpy()
-        values = group.column("bits").to_numpy().view(np.uint64)
-        a, b = spanning(values[host], values[~host], radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return host.union(guest).groupBy("home", "x", "y").applyInArrow(compare, "a bigint, b bigint")
+    blocks = radius + 1 + bits.count() // STEP_ROWS
+    keys = [F.xxhash64(F.lit(k), F.col("bits").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(radius, min(64, blocks)))]
+    each = bits.select("bits", F.explode(F.array(*keys)).alias("key"))
+    sizes = stage_table(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared = stage_table(each.join(sizes, "key"), "shared")
+    total = shared.filter(F.col("n") <= tile_rows).count()
+    groups = max(1, total // (4 * tile_rows))
+    schema = "a bigint, b bigint"
+    linked = lambda a, b: pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+    values = lambda group: group.column("bits").to_numpy().view(np.uint64)
+
+    def compare_small(group: pa.Table) -> pa.Table:
+        return linked(*spanning_runs(group.column("key").to_numpy(), values(group), radius))
+
+    small = shared.filter(F.col("n") <= tile_rows).select(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(groups)).alias("task"), "key", "bits")
+    # block x of a large bucket meets block y: a row goes to every pair of blocks that has its own
+    large = shared.filter(F.col("n") > tile_rows).withColumn("blocks", F.ceil(F.col("n") / tile_rows).cast("int"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("bits", F.lit(7)), F.col("blocks")).cast("int"))
+    large = large.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "bits")
+    large = large.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "bits")
+
+    def compare_large(group: pa.Table) -> pa.Table:
+        own, x, y = group.column("own").to_numpy(), group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        found = values(group)
+        return linked(*spanning(found[own == x], found[own == y], radius))
+
+    return small.groupBy("task").applyInArrow(compare_small, schema).union(large.groupBy("key", "x", "y").applyInArrow(compare_large, schema))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3, seed: int = 42, similarity: float | None = None) -> DataFrame:

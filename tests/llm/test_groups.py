@@ -199,3 +199,26 @@ def test_columns_named_like_made_ones_are_left_out(spark):
     docs = brute.documents(spark).withColumn("score", F.lit("mine"))
     model = langid.train(docs, "doc_id", "text", "lang")
     assert langid.identify(docs, model).columns == [*brute.documents(spark).columns, "lang_pred", "score", "rejected"]
+
+
+def test_any_two_near_fingerprints_share_a_bucket():
+    rng = random.Random(6)
+    for radius, blocks in ((2, 3), (2, 4), (2, 5), (1, 2), (4, 5)):
+        found = simhash.masks(radius, blocks)
+        for _ in range(300):
+            a = rng.getrandbits(64)
+            b = a
+            for _ in range(radius):
+                b ^= 1 << rng.randrange(64)
+            assert any((a ^ b) & m & (2**64 - 1) == 0 for m in found)
+
+
+def test_spanning_by_blocks_and_runs():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    values = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for _ in range(12)]))
+    close = [(int(a), int(b)) for k, a in enumerate(values) for b in values[k + 1 :] if bin(int(a) ^ int(b)).count("1") <= 2]
+    want = union_find([int(v) for v in values], close)
+    for a, b in (simhash.spanning(values, values, 2), simhash.spanning_runs(np.zeros(len(values), np.int64), values, 2)):
+        assert union_find([int(v) for v in values], zip(a.tolist(), b.tolist(), strict=True)) == want
+    assert len(simhash.spanning_runs(values.view(np.int64), values, 2)[0]) == 0
