@@ -83,12 +83,13 @@ def neighbours(df: DataFrame, group: Sequence[str], order: str, columns: Sequenc
 
 
 def round_robin(df: DataFrame, strata: Sequence[str], key: Column, n: int | None = None) -> DataFrame:
-    """Rows in the order: first of each stratum, second of each, and so on; position from 1, at most n."""
+    """Rows in the order: first of each stratum, second of each, and so on; position from 1, at most n. All rows are numbered within sorted ranges, so that no task sees them all."""
     ranked = df.withColumns({"__k": key, "rank_in_stratum": F.row_number().over(Window.partitionBy(*strata).orderBy(key))})
-    if n is not None:
-        ranked = ranked.filter(F.col("rank_in_stratum") <= n).orderBy("rank_in_stratum", *strata, "__k").limit(n)
-    position = F.row_number().over(Window.orderBy("rank_in_stratum", *strata, "__k"))
-    return ranked.withColumn("position", position).drop("__k")
+    order = ["rank_in_stratum", *strata, "__k"]
+    if n is None:
+        return number_rows(ranked, order, "position").drop("__k")
+    first = ranked.filter(F.col("rank_in_stratum") <= n).orderBy(*order).limit(n)
+    return first.withColumn("position", F.row_number().over(Window.orderBy(*order))).drop("__k")
 
 
 def sequential_ids(df: DataFrame, prefix: str, order: Sequence[Column | str], width: int = 3, name: str = "record_id") -> DataFrame:

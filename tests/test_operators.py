@@ -190,6 +190,21 @@ def test_row_numbers_and_sums_with_further_columns(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_round_robin_of_all_rows(spark):
+    rows = spark.range(200).select("id", (F.col("id") % 7).alias("s"))
+    whole = {r.id: r.position for r in J.round_robin(rows, ["s"], F.col("id")).collect()}
+    part = {r.id: r.position for r in J.round_robin(rows, ["s"], F.col("id"), 50).collect()}
+    assert sorted(whole.values()) == list(range(1, 201)) and part == {k: p for k, p in whole.items() if p <= 50}
+
+
+def test_decision_metrics(spark):
+    rows = spark.createDataFrame([("rejected", "rejected"), ("kept", "kept")], "g string, f string")
+    row = S.decision_metrics(rows, F.col("g"), F.col("f")).first()
+    assert (row.n, row.accuracy, row.reject_precision, row.reject_recall, row.reject_f1) == (2, 1.0, 1.0, 1.0, 1.0)
+    none = S.decision_metrics(rows.filter("g = 'kept'"), F.col("g"), F.col("f")).first()
+    assert (none.accuracy, none.reject_f1) == (1.0, None) and S.decision_metrics(rows.limit(0), F.col("g"), F.col("f")).first().accuracy is None
+
+
 def test_tables_in_a_folder_that_is_shared(spark):
     from corpusloom.operators import storage
 
