@@ -9,6 +9,7 @@ from corpusloom.operators import duplicates as U
 from corpusloom.operators import relational as J
 from corpusloom.operators import sampling as A
 from corpusloom.operators import stats as S
+from corpusloom.operators.storage import saved
 from corpusloom.plans.catalog import SQL_VIEWS, query, table
 
 
@@ -182,7 +183,8 @@ def benchmark_overlap(spark, sf_dir):
         rows = table(spark, sf_dir, name).select(key, F.inline(F.array(F.struct(X.words(F.col("text")).alias("w")))))
         return rows.select(key, F.explode(X.hashed_ngrams(F.col("w"), 8)).alias("h"))
 
-    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "h").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    # the items' hashes are written first: the engine then knows their size and broadcasts them only if they are few
+    return grams("documents", "doc_id").join(saved(grams("benchmark", "item_id")), "h").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
 @query("reviewed_caps", "SELECT * FROM (VALUES (CAST(1 AS BIGINT)), (CAST(3 AS BIGINT))) AS t(id)")
