@@ -5,6 +5,9 @@ task's work, and the k best of each query over the row blocks are merged. In a b
 dimension. A query walks its lists downward from the end its weight's sign prefers, looks up what it meets in full, and
 stops once no unseen row can reach its kth score: the bound is the score of a row holding each list's next value.
 
+Where dimensions are independent and alike, as in random vectors, no bound prunes: the lists are walked for a third of
+their length, by which time every row has been met; a walk that has met all rows ends.
+
 Components become floor(scale * x); vectors that are null or hold null or non-finite components take no part, nor do
 rows without an id. A query meets only vectors of its own length. Repeated rows are candidates of their own, rows that share
 a query's id are not its candidates, and repeated query rows count once. Ties go to the smaller id. An empty table gives
@@ -22,9 +25,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read, stage_table
 
-#: Rows, and queries, in one block, about.
+#: Rows, and queries, in one block, about. Each row is copied once for every block of queries, each query once for every block of rows.
 BLOCK_ROWS = 8192
-BLOCK_QUERIES = 512
+BLOCK_QUERIES = 4096
 #: Ranks of each list that are read at a time.
 DEPTH = 64
 
@@ -59,7 +62,7 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarra
             keep = np.lexsort((best_id, -best_score))[:k]
             best_id, best_score = best_id[keep], best_score[keep]
             at = stop
-            if at >= n or not len(live):
+            if at >= n or not len(live) or seen.all():
                 break
             bound = int(np.where(down[live], lists[n - 1 - at, live], lists[at, live]) @ weights[live])
             if len(best_score) == k and bound < best_score[-1]:
