@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.relational import beside
+from corpusloom.operators.storage import saved
 
 # Fixed value: the tokens of term statistics.
 TOKEN = r"\b[a-zA-Z][a-zA-Z'-]{1,}\b"
@@ -61,6 +67,103 @@ def ngram_frequencies(terms: DataFrame, min_df: int = 2) -> DataFrame:
     return terms.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).filter(F.col("df") >= min_df)
 
 
+#: Words that are looked at together; buckets of n-grams' hashes by their first bits; bits of the map of n-grams that may be frequent, in a bucket.
+SLICE_WORDS, BUCKETS_LOG, BITS_LOG = 1 << 20, 10, 18
+
+
+def word_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
+    """(first row, one past the last, row of each word, number of each word, words by number), of bounded size but for a longer text."""
+    ends = np.cumsum(batch.column("t").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        start = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, start + SLICE_WORDS, "right")))
+        lists = batch.column("t").slice(lo, hi - lo)
+        coded = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy(zero_copy_only=False))
+        yield lo, hi, row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        lo = hi
+
+
+def gram_hashes(row: np.ndarray, code: np.ndarray, words: pa.Array, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, place of the first word, 42-bit hash) of the n-grams within a row."""
+    each = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object))[code] if len(code) else np.empty(0, np.uint64)
+    for n in sizes:
+        m = max(0, len(code) - n + 1)
+        h = np.full(m, n, np.uint64)
+        for k in range(n):
+            h = (h ^ each[k : m + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        at = np.flatnonzero(row[:m] == row[n - 1 : m + n - 1])
+        yield n, at, h[at] >> np.uint64(22)
+
+
+def gram_map(rows: DataFrame, sizes: Sequence[int], min_df: int) -> np.ndarray:
+    """A map of bits, by hash, of at least all n-grams in min_df rows or more. Only hashes cross the shuffle, about three bytes for an n-gram of a row."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, row, code, words in word_slices(batch):
+                # one of each hash a row, and no more than are asked for
+                both = np.concatenate([np.stack([h, row[at].astype(np.uint64)]) for _, at, h in gram_hashes(row, code, words, sizes)], axis=1)
+                h, r = both[:, np.lexsort((both[1], both[0]))]
+                h = h[np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])])] if len(h) else h
+                h = h[np.arange(len(h)) - np.searchsorted(h, h) < min_df]
+                cuts = np.searchsorted(h, np.arange((1 << BUCKETS_LOG) + 1, dtype=np.uint64) << np.uint64(32))
+                # byte by byte: the sorted first bytes take next to nothing
+                parts = [(b, h[x:y].astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "hashes"])
+
+    def count(group: pa.Table) -> pa.Table:
+        h = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T.copy().view(">u4").ravel().astype(np.uint32) for x in group.column("hashes")]))
+        often = h[: max(0, len(h) - min_df + 1)][h[: max(0, len(h) - min_df + 1)] == h[min_df - 1 :]]
+        bits = np.zeros(1 << BITS_LOG, bool)
+        bits[often >> np.uint32(32 - BITS_LOG)] = True
+        return pa.table({"bucket": group.column("bucket").slice(0, 1), "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
+
+    found = np.zeros((1 << BUCKETS_LOG, (1 << BITS_LOG) // 8), np.uint8)
+    for r in rows.select("t").mapInArrow(deal, "bucket int, hashes binary").groupBy("bucket").applyInArrow(count, "bucket int, bits binary").toLocalIterator():
+        found[r.bucket] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return found.ravel()
+
+
+def frequent_ngrams(df: DataFrame, key: str, tokens: Column, sizes: Sequence[int], min_df: int = 2) -> DataFrame:
+    """(term, n, df): n-grams with their occurrences and the number of keys that have them, for those of min_df keys or more.
+
+    Hashes tell first which n-grams can be as frequent; only those are counted as texts, row by row before they cross the shuffle. A hash that several n-grams
+    share lets more through and changes no count. Rows that share a key are counted by key instead; rows without one add to n alone.
+    """
+    rows = df.select(F.col(key).alias("k"), F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("t"))
+    held = df.sparkSession.sparkContext.broadcast(gram_map(rows, sizes, min_df))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            for _, _, row, code, words in word_slices(batch):
+                for n, at, h in gram_hashes(row, code, words, sizes):
+                    spot = h >> np.uint64(32 - BITS_LOG)
+                    at = at[(bits[spot >> np.uint64(3)] >> (np.uint64(7) - (spot & np.uint64(7))).astype(np.uint8)) & 1 > 0]
+                    if not len(at):
+                        continue
+                    gram = code[at]
+                    for k in range(1, n):
+                        gram = np.unique(gram * len(words) + code[at + k], return_inverse=True)[1]
+                    terms, first, gram, uses = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+                    held_by = np.bincount(np.unique(gram * (row[-1] + 1) + row[at]) // (row[-1] + 1), minlength=len(terms))
+                    texts = [words.take(pa.array(code[at[first] + k])) for k in range(n)]
+                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*texts, " ").cast(pa.string()), pa.array(uses.astype(np.int64)), pa.array(held_by.astype(np.int64))], names=["term", "n", "df"])
+
+    odd = saved(rows.groupBy("k").count().filter("count > 1 or k is null").select("k"))
+    if odd.isEmpty():
+        parts = rows.select("t").mapInArrow(tell, "term string, n bigint, df bigint")
+    else:
+        single = rows.filter("k is not null").join(odd, "k", "left_anti")
+        several = rows.filter("k is not null").join(odd, "k", "left_semi").select("k", "t").union(rows.filter("k is null"))
+        counted = counted_grams(several, "k", F.col("t"), sizes).groupBy("term").agg(F.sum("tf").alias("n"), F.count("k").alias("df"))
+        parts = single.select("t").mapInArrow(tell, "term string, n bigint, df bigint").union(counted)
+    return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).filter(F.col("df") >= min_df)
+
+
 def repeated_phrases(df: DataFrame, case: str, sentences: Column, sizes: Sequence[int] = (3, 4, 5), min_cases: int = 2) -> DataFrame:
     """N-grams within one sentence that several cases share."""
     units = df.select(F.col(case).alias("case"), F.explode(sentences).alias("s"))

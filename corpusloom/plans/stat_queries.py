@@ -185,7 +185,7 @@ def keyness(spark, sf_dir):
 @query("ngram_counts", f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{LETTERS}') AS t FROM documents), g AS (SELECT doc_id, t[i] || ' ' || t[i+1] AS term FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM w) UNION ALL SELECT doc_id, t[i] || ' ' || t[i+1] || ' ' || t[i+2] FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM w)) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 10")
 def ngram_counts(spark, sf_dir):
     """ST4: two and three words in a row with their document frequency."""
-    return T.ngram_frequencies(terms(spark, sf_dir, (2, 3), ()), 10)
+    return T.frequent_ngrams(tokens(spark, sf_dir, ()), "doc_id", F.col("t"), (2, 3), 10)
 
 
 @query("term_rates", f"WITH {SQL_TERMS} SELECT term, CAST(sum(tf) AS BIGINT) AS n, round(sum(tf) * 10000.0 / (SELECT sum(tf) FROM tf), 6) AS per_10k FROM tf GROUP BY term HAVING sum(tf) >= 20")

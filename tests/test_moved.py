@@ -1,11 +1,13 @@
 """How much operators shuffle for what they are given; and that they lose nothing by it."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.operators import duplicates as U
+from corpusloom.operators import textstats as T
 
 
 def moved(spark, run):
@@ -51,3 +53,17 @@ def test_hot_shingles_come_last(spark):
     rows = lambda hot: sorted((r.k, r.n, r.h) for r in U.first_shingles(sets, 0.8, np.array(hot, np.int64)).collect())
     assert rows([]) == [(1, 10, 1), (1, 10, 2), (1, 10, 3), (2, 3, -5)]
     assert rows([-5, 2, 11]) == [(1, 10, 1), (1, 10, 3), (1, 10, 4), (2, 3, 4)]
+
+
+def test_frequent_ngrams_move_hashes(spark):
+    random.seed(6)
+    docs = [(k, [f"word{int(random.paretovariate(0.3)) % 5000}" for _ in range(300)]) for k in range(400)]
+    size, found = moved(spark, lambda: T.frequent_ngrams(spark.createDataFrame(docs, "id bigint, w array<string>"), "id", F.col("w"), (2, 3), 5).collect())
+    uses, held = Counter(), Counter()
+    for _, w in docs:
+        grams = [" ".join(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)]
+        uses.update(grams)
+        held.update(set(grams))
+    assert {(r.term, r.n, r.df) for r in found} == {(g, uses[g], n) for g, n in held.items() if n >= 5} and len(found) > 50
+    # before: about 30 bytes for each n-gram of a document
+    assert size < 8 * sum(held.values())
