@@ -189,3 +189,85 @@ def paired_cosine(weights: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     left = pairs.join(weights.select(F.col(key).alias("a"), "term", F.col("weight").alias("wa")), "a")
     dots = left.join(weights.select(F.col(key).alias("b"), "term", F.col("weight").alias("wb")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return pairs.join(dots, ["a", "b"], "left").fillna({"cosine": 0.0})
+
+
+def one_row_a_key(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(k, t): the tokens of each key; rows that share one are put together, all others stay where they are."""
+    rows = df.select(F.col(key).alias("k"), F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("t"))
+    odd = saved(rows.groupBy("k").count().filter("count > 1").select(F.col("k").alias("o")))
+    if odd.isEmpty():
+        return rows
+    several = rows.join(odd, F.col("k").eqNullSafe(F.col("o")), "left_semi").groupBy("k").agg(F.flatten(F.collect_list("t")).alias("t"))
+    return rows.join(odd, F.col("k").eqNullSafe(F.col("o")), "left_anti").union(several)
+
+
+def document_frequencies(rows: DataFrame) -> DataFrame:
+    """(term, df) of rows (k, t), one a key; counted slice by slice before they cross the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, row, code, words in word_slices(batch):
+                seen = np.unique(row * max(1, len(words)) + code) % max(1, len(words))
+                yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(seen, minlength=len(words)).astype(np.int64))], names=["term", "df"])
+
+    return rows.select("t").mapInArrow(count, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+#: Terms whose weights every task holds; the others, each in few documents, are joined as rows.
+COMMON_TERMS = 1 << 17
+
+
+def text_cosines(rows: DataFrame, n_docs: int, pairs: DataFrame, common: int = COMMON_TERMS) -> DataFrame:
+    """(a, b, cosine) of pairs of keys of rows (k, t), one a key: cosines of the vectors that tfidf gives, over all terms; pairs without a shared term get 0.
+
+    A document's common terms stay in one row, as numbers with their counts, and only such rows meet; a rare term crosses the shuffle for its weight.
+    """
+    counts = saved(document_frequencies(rows))
+    idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
+    top = counts.orderBy(F.desc("df"), "term").limit(common).select("term", idf.alias("idf")).collect()
+    held = rows.sparkSession.sparkContext.broadcast((pa.array([r.term for r in top], pa.string()), np.array([r.idf for r in top])))
+
+    def lists(row: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), values)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, weight = held.value
+        for batch in batches:
+            for lo, hi, row, code, words in word_slices(batch):
+                number = pc.fill_null(pc.index_in(words.cast(pa.string()), value_set=terms), -1).to_numpy(zero_copy_only=False)
+                both, tf = np.unique(row * max(1, len(words)) + code, return_counts=True)
+                r, c = both // max(1, len(words)), both % max(1, len(words))
+                at, often = number[c], number[c] >= 0
+                square = np.bincount(r[often], weights=((1 + np.log(tf[often])) * weight[at[often]]) ** 2, minlength=hi - lo)
+                ints = lambda x: pa.array(x.astype(np.int32))
+                parts = [lists(r[often], hi - lo, ints(at[often])), lists(r[often], hi - lo, ints(tf[often])), pa.array(square.astype(float)), lists(r[~often], hi - lo, words.take(pa.array(c[~often])).cast(pa.string())), lists(r[~often], hi - lo, ints(tf[~often]))]
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), *parts], names=["k", "ids", "tfs", "square", "rare", "rare_tfs"])
+
+    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, weight = held.value
+        for batch in batches:
+            n = batch.num_rows
+
+            def flat(side: str, n: int = n, batch: pa.RecordBatch = batch) -> tuple[np.ndarray, np.ndarray]:
+                ids, tfs = batch.column(f"ids_{side}"), batch.column(f"tfs_{side}")
+                place = np.repeat(np.arange(n), ids.value_lengths().to_numpy(zero_copy_only=False)) * max(1, len(terms))
+                return place + ids.flatten().to_numpy(zero_copy_only=False), 1 + np.log(tfs.flatten().to_numpy(zero_copy_only=False))
+
+            (xa, wa), (xb, wb) = flat("a"), flat("b")
+            shared, at_a, at_b = np.intersect1d(xa, xb, assume_unique=True, return_indices=True)
+            sums = np.bincount(shared // max(1, len(terms)), weights=wa[at_a] * wb[at_b] * weight[shared % max(1, len(terms))] ** 2, minlength=n)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sums.astype(float))], names=["a", "b", "dot"])
+
+    kind = dict(rows.dtypes)["k"]
+    parts = saved(rows.mapInArrow(split, f"k {kind}, ids array<int>, tfs array<int>, square double, rare array<string>, rare_tfs array<int>"))
+    each = parts.select("k", F.inline(F.arrays_zip("rare", "rare_tfs"))).select("k", F.col("rare").alias("term"), (1 + F.log("rare_tfs")).alias("w"))
+    weighed = saved(each.join(counts, "term").select("k", "term", "df", (F.col("w") * idf).alias("w")))
+    norms = saved(parts.select("k", "square").union(weighed.select("k", F.col("w") * F.col("w"))).groupBy("k").agg(F.sqrt(F.sum("square")).alias("norm")))
+    side = lambda d, s, *c: d.select(F.col("k").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in c])
+    met = pairs.join(side(parts, "a", "ids", "tfs"), "a").join(side(parts, "b", "ids", "tfs"), "b").mapInArrow(dot, f"a {dict(pairs.dtypes)['a']}, b {dict(pairs.dtypes)['b']}, dot double")
+    again = weighed.filter("df > 1").select("k", "term", "w")
+    left = pairs.join(again.select(F.col("k").alias("a"), "term", F.col("w").alias("w_a")), "a").join(again.select(F.col("k").alias("b"), "term", F.col("w").alias("w_b")), ["b", "term"])
+    dots = met.union(left.select("a", "b", F.col("w_a") * F.col("w_b"))).groupBy("a", "b").agg(F.sum("dot").alias("dot"))
+    found = dots.join(side(norms, "a", "norm"), "a").join(side(norms, "b", "norm"), "b")
+    found = found.select("a", "b", F.when(F.col("dot") > 0, F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).otherwise(0.0).alias("cosine"))
+    return pairs.join(found, ["a", "b"], "left").fillna({"cosine": 0.0})

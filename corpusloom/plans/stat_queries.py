@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import relational as J
 from corpusloom.operators import stats as S
 from corpusloom.operators import textstats as T
+from corpusloom.operators.storage import saved
 from corpusloom.plans.catalog import query, table
 
 SQL_GOLD = "g AS (SELECT l.doc_id, d.lang, l.toxic = 1 AS gold, regexp_matches(d.text, '(?i)idiot|worthless|pathetic') AS found, l.quality FROM labels l JOIN documents d USING (doc_id))"
@@ -215,10 +216,10 @@ def repeated_phrases(spark, sf_dir):
 @query("paired_cosines", f"WITH {SQL_TERMS}, n AS (SELECT count(DISTINCT doc_id) AS n FROM tf), d AS (SELECT term, count(*) AS df FROM tf GROUP BY term), x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT n FROM n)) / (1 + df)) + 1) AS w FROM tf JOIN d USING (term)), u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x), p AS (SELECT DISTINCT a.doc_id AS a, a.doc_id + 1 AS b FROM u a) SELECT p.a, p.b, round(coalesce(sum(x.w * y.w), 0), 9) AS cosine FROM p LEFT JOIN u x ON x.doc_id = p.a LEFT JOIN u y ON y.doc_id = p.b AND y.term = x.term GROUP BY p.a, p.b")
 def paired_cosines(spark, sf_dir):
     """DU13: TF-IDF cosine of given pairs."""
-    tf = terms(spark, sf_dir)
-    n = tf.select("doc_id").distinct().count()
-    pairs = tf.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).distinct()
-    return T.paired_cosine(T.tfidf(tf, n, "doc_id"), pairs, "doc_id").select("a", "b", F.round("cosine", 9).alias("cosine"))
+    rows = T.one_row_a_key(tokens(spark, sf_dir), "doc_id", F.col("t"))
+    pairs = saved(rows.filter(F.size("t") > 0).select(F.col("k").alias("a"), (F.col("k") + 1).alias("b")))
+    n = pairs.filter("a is not null").count()
+    return T.text_cosines(rows, n, pairs).select("a", "b", F.round("cosine", 9).alias("cosine"))
 
 
 @query("reference_distribution", "SELECT 'unweighted' AS block, lang, round(count(*) / (SELECT count(*) FROM documents), 9) AS share FROM documents GROUP BY lang UNION ALL SELECT 'weighted', lang, round(sum(1.0 + doc_id % 4) / (SELECT sum(1.0 + doc_id % 4) FROM documents), 9) FROM documents GROUP BY lang")

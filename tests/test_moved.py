@@ -67,3 +67,16 @@ def test_frequent_ngrams_move_hashes(spark):
     assert {(r.term, r.n, r.df) for r in found} == {(g, uses[g], n) for g, n in held.items() if n >= 5} and len(found) > 50
     # before: about 30 bytes for each n-gram of a document
     assert size < 8 * sum(held.values())
+
+
+def test_text_cosines_move_numbers(spark):
+    random.seed(7)
+    docs = [(k, [f"word{int(random.paretovariate(0.6)) % 5000}" for _ in range(300)]) for k in range(300)]
+    df = spark.createDataFrame(docs, "k bigint, t array<string>")
+    pairs = df.select(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))
+    want = {(r.a, r.b): r.cosine for r in T.paired_cosine(T.tfidf(T.counted_grams(df, "k", F.col("t")), 300, "k"), pairs, "k").collect()}
+    for common in (20, 1 << 17):
+        size, found = moved(spark, lambda: T.text_cosines(df, 300, pairs, common).collect())  # noqa: B023
+        assert len(found) == len(want) and all(abs(r.cosine - want[r.a, r.b]) < 1e-12 for r in found)
+    # before: each term of a document crossed the shuffle several times as text
+    assert size < 16 * sum(len(set(t)) for _, t in docs)

@@ -18,6 +18,6 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["mean_tfidf", "ngram_counts", "term_rates"])
+@pytest.mark.parametrize("name", ["mean_tfidf", "ngram_counts", "paired_cosines", "term_rates"])
 def test_odd_texts(spark, odd, name):
     assert differences(QUERIES[name](spark, odd), connect(odd), SQL[name]) == []
